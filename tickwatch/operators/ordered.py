@@ -22,6 +22,8 @@ from tickwatch.functions.columns import arrival_key
 
 RANGE = "_range"
 ROWS_PER_RANGE = 2_000_000
+# A session can set another size, to suit its executors' memory.
+ROWS_PER_RANGE_CONF = "spark.tickwatch.rowsPerRange"
 # More ranges than this would only make the driver's list of split points long;
 # beyond it the ranges grow instead (a window spills, it does not fail).
 MAX_RANGES = 16_384
@@ -44,7 +46,11 @@ def _sortable(df: DataFrame, name: str) -> tuple[Column, str]:
     raise TypeError(f"cannot cut ranges on {name}: {kind.simpleString()}")
 
 
-def split_points(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE) -> list[tuple]:
+def range_rows(df: DataFrame, rows_per_range: int | None = None) -> int:
+    return rows_per_range or int(df.sparkSession.conf.get(ROWS_PER_RANGE_CONF, str(ROWS_PER_RANGE)))
+
+
+def split_points(df: DataFrame, keys: list[str], rows_per_range: int | None = None) -> list[tuple]:
     """Split points of `keys`, from a repeatable hash sample of bounded size.
 
     Costs a count and one narrow pass; brings at most about
@@ -53,7 +59,7 @@ def split_points(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_
     gives the same points on every evaluation.
     """
     total = df.count()
-    wanted = min(MAX_RANGES, math.ceil(total / rows_per_range))
+    wanted = min(MAX_RANGES, math.ceil(total / range_rows(df, rows_per_range)))
     if wanted <= 1:
         return []
     share = min(1.0, wanted * SAMPLES_PER_RANGE / total)
@@ -97,7 +103,9 @@ def with_range(df: DataFrame, keys: list[str], points: list[tuple]) -> DataFrame
         here = F.col(RANGE)
         df = df.withColumn(RANGE, F.when(at_or_below(here + (step - 1)), here + step).otherwise(here))
         step >>= 1
-    return df
+    # Join planning follows a key back through projections by substitution, which
+    # for this stack would grow threefold per step. It stops at a generator.
+    return df.select(*[c for c in df.columns if c != RANGE], F.explode(F.array(RANGE)).alias(RANGE))
 
 
 def _order_key(df: DataFrame, order: list[str]) -> Column:
@@ -116,7 +124,7 @@ def scan_in_order(
     lag: dict[str, str] | None = None,
     total: dict[str, str] | None = None,
     position: str | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Lags, running totals and positions over `order` within `by`.
 
@@ -183,15 +191,14 @@ def trailing_mean(
     out: str,
     width: int,
     by: list[str] | None = None,
-    block_rows: int = ROWS_PER_RANGE,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Mean of the last `width` values up to each row, along a dense 0-based position.
 
     Rows go to equal blocks of positions; the last width-1 rows of a block are
     also sent to the next one, so every frame is whole inside one block.
     """
-    if block_rows < width:
-        raise ValueError("a block must hold at least one frame")
+    block_rows = max(width, range_rows(df, block_rows))
     by = by or []
     block = F.floor(F.col(position) / block_rows)
     reach = F.pmod(F.col(position), F.lit(block_rows)) >= block_rows - (width - 1)

@@ -9,7 +9,7 @@ into ranges, and only the ranges that hold a wanted rank are ordered.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwatch.operators.ordered import RANGE, ROWS_PER_RANGE, split_points, with_range
+from tickwatch.operators.ordered import RANGE, split_points, with_range
 from tickwatch.session import stage
 
 
@@ -18,7 +18,7 @@ def quantiles(
     value: str,
     probs: list[float],
     by: list[str] | None = None,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Rows (by..., prob, quantile); nulls and NaN are left out."""
     by = by or []

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch.functions.columns import log_return
-from tickwatch.operators.ordered import ROWS_PER_RANGE, scan_in_order
+from tickwatch.operators.ordered import scan_in_order
 
 
 def with_log_return(
@@ -12,7 +12,7 @@ def with_log_return(
     order: tuple[str, ...] = ("event_time", "event_id"),
     price: str = "price",
     out: str = "log_return",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Add ln(price / previous price of the symbol)."""
     lagged = scan_in_order(ticks, ["symbol"], list(order), lag={"_previous": price},

@@ -27,9 +27,14 @@ def market_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`lineitem` as a larger tick table for load tests."""
+    """`lineitem` as a larger tick table for load tests.
+
+    Its days are coarse and its line numbers repeat, so the tie-break is a hash
+    of all four keys, which are unique together.
+    """
+    row = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return read(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"),
+        F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint").alias("event_id"),
         F.col("l_shipdate").cast("timestamp").alias("event_time"),
         F.concat("l_returnflag", "l_linestatus").alias("symbol"),
         F.col("l_extendedprice").alias("price"),

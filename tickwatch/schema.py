@@ -14,43 +14,52 @@ Z_FEATURES = FEATURES[:3]
 STD_FEATURES = FEATURES[3:]
 LABEL = "is_anomaly"
 
-EVENT = T.StructType.fromDDL(
-    "timestamp BIGINT, symbol STRING, price DOUBLE, volume DOUBLE, "
-    "log_return DOUBLE, is_anomaly BOOLEAN, anomaly_type STRING"
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(),
+    "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+}
+
+
+def table(columns: str) -> T.StructType:
+    """A schema from "name type, ..." that needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+_FEATURE_DOUBLES = ", ".join(f"{name} double" for name in FEATURES)
+
+EVENT = table(
+    "timestamp bigint, symbol string, price double, volume double, "
+    "log_return double, is_anomaly boolean, anomaly_type string"
 )
 
 # Exchange trades carry numbers as text, so every leaf is read as text and
 # converted with try_cast: a bad number is then a null, not a failed job.
-TRADE = T.StructType.fromDDL(
-    "data STRUCT<e: STRING, s: STRING, p: STRING, q: STRING, T: STRING>"
-)
+TRADE = T.StructType([
+    T.StructField("data", table("e string, s string, p string, q string, T string"))
+])
 
-FEATURE = T.StructType.fromDDL(
-    "symbol STRING, window_start TIMESTAMP, window_end TIMESTAMP, "
-    "z_score_price DOUBLE, z_score_log_return DOUBLE, z_score_volume DOUBLE, "
-    "rolling_price_std DOUBLE, rolling_volume_std DOUBLE, is_anomaly INT"
+FEATURE = table(
+    f"symbol string, window_start timestamp, window_end timestamp, {_FEATURE_DOUBLES}, is_anomaly int"
 )
 
 # A scoring request as text fields: numbers may arrive quoted or not.
-REQUEST = T.StructType(
-    [T.StructField("symbol", T.StringType())]
-    + [T.StructField(name, T.StringType()) for name in FEATURES]
-)
+REQUEST = table("symbol string, " + ", ".join(f"{name} string" for name in FEATURES))
 
-SCALER = T.StructType.fromDDL("feature STRING, position INT, mean DOUBLE, scale DOUBLE")
+SCALER = table("feature string, position int, mean double, scale double")
 
-NODES = T.StructType.fromDDL(
-    "tree_id INT, node_id INT, feature INT, threshold DOUBLE, "
-    "`left` INT, `right` INT, depth INT, n_samples INT"
+# feature -1 marks a leaf.
+NODES = table(
+    "tree_id int, node_id int, feature int, threshold double, left int, right int, "
+    "depth int, n_samples int"
 )
 
-META = T.StructType.fromDDL(
-    "model_version STRING, n_estimators INT, max_samples STRING, psi INT, "
-    "contamination DOUBLE, offset DOUBLE, seed BIGINT, n_train BIGINT"
+META = table(
+    "model_version string, n_estimators int, max_samples string, psi int, "
+    "contamination double, offset double, seed bigint, n_train bigint"
 )
 
-PREDICTION = T.StructType.fromDDL(
-    "seq BIGINT, symbol STRING, z_score_price DOUBLE, z_score_log_return DOUBLE, "
-    "z_score_volume DOUBLE, rolling_price_std DOUBLE, rolling_volume_std DOUBLE, "
-    "anomaly_score DOUBLE, is_anomaly BOOLEAN, model_version STRING"
+PREDICTION = table(
+    f"seq bigint, symbol string, {_FEATURE_DOUBLES}, anomaly_score double, "
+    "is_anomaly boolean, model_version string"
 )
