@@ -1,0 +1,99 @@
+"""Ordered scans and quantiles: many small ranges must give what one plain window gives."""
+
+import math
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tickwatch.operators.ordered import RANGE, scan_in_order, split_points, trailing_mean, with_range
+from tickwatch.operators.quantiles import quantiles, quantiles_approx, quantiles_bounded
+
+ORDER = ["event_time", "event_id"]
+
+
+@pytest.mark.parametrize("rows_per_range", [13, 90, 10**6])
+def test_scan_equals_plain_window(ticks, rows_per_range):
+    got = scan_in_order(ticks, ["symbol"], ORDER, lag={"p": "price"}, total={"s": "volume"},
+                        position="n", rows_per_range=rows_per_range)
+    w = Window.partitionBy("symbol").orderBy(*ORDER)
+    want = ticks.withColumns({
+        "p": F.lag("price").over(w),
+        "s": F.sum("volume").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "n": F.row_number().over(w).cast("bigint") - 1})
+    assert got.columns == want.columns
+    assert got.count() == ticks.count()
+    assert got.exceptAll(want).count() == 0
+
+
+def test_hot_symbol_is_split_evenly(spark):
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("symbol"),
+        F.timestamp_seconds(F.col("id")).alias("event_time"), F.col("id").alias("event_id"))
+    keys = ["symbol", *ORDER]
+    ranged = with_range(rows, keys, split_points(rows, keys, 200))
+    sizes = [r["count"] for r in ranged.groupBy(RANGE).count().collect()]
+    assert sum(sizes) == 6000
+    assert len(sizes) >= 25
+    assert max(sizes) < 800
+
+
+def test_hot_instant_is_split_by_the_tie_break(spark):
+    rows = spark.range(4000).select(
+        F.lit("a").alias("symbol"), F.timestamp_seconds(F.lit(100)).alias("event_time"),
+        F.col("id").alias("event_id"), F.col("id").cast("double").alias("price"))
+    got = scan_in_order(rows, ["symbol"], ORDER, lag={"p": "price"}, rows_per_range=100)
+    assert got.where(F.col("p").isNull()).count() == 1
+    assert got.where(F.col("p") != F.col("price") - 1).count() == 0
+
+
+def test_null_symbols_form_their_own_group(spark):
+    rows = spark.createDataFrame(
+        [(s, i, float(i)) for i, s in enumerate([None, "", "a"] * 40)], "symbol string, event_id bigint, price double")
+    got = scan_in_order(rows, ["symbol"], ["event_id"], lag={"p": "price"}, rows_per_range=10)
+    w = Window.partitionBy("symbol").orderBy("event_id")
+    assert got.exceptAll(rows.withColumn("p", F.lag("price").over(w))).count() == 0
+
+
+def test_planning_time_does_not_grow_with_the_search_depth(ticks):
+    got = scan_in_order(ticks, ["symbol"], ORDER, lag={"p": "price"}, rows_per_range=2)
+    assert got.count() == ticks.count()
+
+
+@pytest.mark.parametrize("block_rows", [20, 64, 10**6])
+def test_trailing_mean_crosses_blocks(ticks, block_rows):
+    numbered = scan_in_order(ticks, [], ORDER, position="n")
+    got = trailing_mean(numbered, "price", "n", "m", 20, block_rows=block_rows)
+    w = Window.orderBy("n").rowsBetween(-19, 0)
+    want = numbered.withColumn("m", F.avg("price").over(w))
+    rounded = [df.select("n", F.round("m", 6)) for df in (got, want)]
+    assert got.count() == ticks.count()
+    assert rounded[0].exceptAll(rounded[1]).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 10**6])
+def test_exact_quantiles(ticks, rows_per_range):
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    for by in ([], ["symbol"]):
+        got = quantiles(ticks, "price", probs, by, rows_per_range)
+        want = quantiles_bounded(ticks, "price", probs, by)
+        rounded = [df.select(*by, "prob", F.round("quantile", 9)) for df in (got, want)]
+        assert rounded[0].exceptAll(rounded[1]).count() == 0
+        assert got.count() == want.count()
+
+
+def test_quantiles_with_heavy_ties_and_bad_values(spark):
+    values = [0.0] * 500 + [float(i) for i in range(200)] + [math.nan, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r["prob"]: r["quantile"] for r in quantiles(rows, "v", [0.5, 0.9], rows_per_range=11).collect()}
+    clean = sorted(v for v in values if v is not None and not math.isnan(v))
+    for p, value in got.items():
+        rank = p * (len(clean) - 1)
+        low = clean[math.floor(rank)]
+        assert value == pytest.approx(low + (clean[math.ceil(rank)] - low) * (rank % 1))
+
+
+def test_approximate_quantiles_are_close(ticks):
+    exact = {r["prob"]: r["quantile"] for r in quantiles(ticks, "price", [0.5]).collect()}
+    rough = {r["prob"]: r["quantile"] for r in quantiles_approx(ticks, "price", [0.5]).collect()}
+    assert rough[0.5] == pytest.approx(exact[0.5], rel=0.02)
