@@ -10,6 +10,8 @@ import numpy as np
 
 EULER_GAMMA = 0.5772156649015329
 LEAF = -1
+# A narrower spread is rounding noise, not a value to split on.
+MIN_SPREAD = 1e-7
 
 
 def path_norm(n):
@@ -43,7 +45,7 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
             continue
         part = rows[index]
         low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
+        usable = np.flatnonzero(high - low > MIN_SPREAD)
         if usable.size == 0:
             continue
         feature = int(rng.choice(usable))

@@ -15,6 +15,7 @@ from tickwatch.functions.columns import is_finite
 from tickwatch.operators.quantiles import quantiles
 from tickwatch.operators.scaler import moments, standardize
 from tickwatch.schema import FEATURES, LABEL, NODES
+from tickwatch.session import ship_package
 
 # Fixed values of the model.
 N_ESTIMATORS = 200
@@ -110,6 +111,7 @@ def fit_trees(
     scaled: DataFrame, key: list[str], n_rows: int, n_trees: int, size: int, seed: int
 ) -> pd.DataFrame:
     """All tree nodes; one group of about `size` rows per tree."""
+    ship_package(scaled.sparkSession)
     slack = 6.0
     while True:
         drawn = draw_subsamples(scaled.select(*key, *FEATURES), key, n_rows, n_trees, size, seed, slack)
@@ -151,6 +153,7 @@ def contamination_threshold(scored: DataFrame, contamination: float) -> float:
 
 def score_samples(features: DataFrame, model: ForestModel) -> DataFrame:
     """Add score_sample = -2^(-mean path / c(psi)); null where a feature is missing or not finite."""
+    ship_package(features.sparkSession)
     forest = isolation.pack_forest(model.nodes)
     shared = features.sparkSession.sparkContext.broadcast(forest)
     norm = float(isolation.path_norm(model.psi)) or 1.0

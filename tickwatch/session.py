@@ -1,5 +1,7 @@
 """Session settings, shared scratch space and lineage cutting."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -8,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Executors may be lost at any time, so intermediate tables live in the shared
 # folder the cluster names here, never on one machine.
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_CONF = "spark.tickwatch.localDir"
 
 
 def build_session(app: str = "tickwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,15 +33,34 @@ def build_session(app: str = "tickwatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Executors have neither the driver's working directory nor its path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tickwatch-package-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "tickwatch"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's, or a local one in local mode."""
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(_LOCAL_CONF, None)
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
     base = tempfile.mkdtemp(prefix="tickwatch-")
-    spark.conf.set(CHECKPOINT_CONF, base)
+    spark.conf.set(_LOCAL_CONF, base)
     return base
 
 

@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickwatch.functions.columns import log_return
 from tickwatch.operators.ordered import scan_in_order
 from tickwatch.schema import table
+from tickwatch.session import ship_package
 
 STATE = table("symbol string, price double, event_time timestamp, event_id bigint")
 
@@ -100,6 +101,7 @@ def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def stateful_log_return(ticks: DataFrame, watermark: str = "1 minute") -> DataFrame:
     """Add log_return in a streaming query; the result can be windowed in the same query."""
+    ship_package(ticks.sparkSession)
     schema = T.StructType(list(ticks.schema.fields) + [T.StructField("previous", T.DoubleType())])
     followed = ticks.groupBy("symbol").applyInPandasWithState(
         _follow, schema, "last_price DOUBLE", "append", GroupStateTimeout.NoTimeout)
