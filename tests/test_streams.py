@@ -15,6 +15,7 @@ from tickwatch.sources.model_store import save_model
 from tickwatch.streaming.feature_stream import start_feature_stream
 from tickwatch.streaming.return_stream import start_return_stream, stateful_log_return
 from tickwatch.streaming.score_stream import start_score_stream
+from tickwatch.streaming.trade_stream import start_trade_stream
 
 
 def message(second, symbol="a", price=10.0, event_id=0):
@@ -104,10 +105,28 @@ def test_returns_over_micro_batches_equal_batch(spark, ticks, tmp_path):
     want = with_log_return(ticks).select("event_id", "log_return")
     assert got.select("event_id", "log_return").exceptAll(want).count() == 0
     assert got.count() == ticks.count()
+    assert [p.name for p in sorted((tmp_path / "state").glob("slot=*"))] == ["slot=0", "slot=1", "slot=2"]
     last = spark.read.parquet(state).where("batch_id = 2")
     assert last.count() == ticks.select("symbol").distinct().count()
 
 
+def test_trade_stream_keeps_bad_messages_apart(spark, tmp_path):
+    def trade(price, millis):
+        return json.dumps({"data": {"e": "trade", "s": "BTCUSDT", "p": price, "q": "1", "T": millis}})
+
+    folder = tmp_path / "in"
+    for i, texts in enumerate([[trade("100.00", 1000), "broken"], [trade("105.00", 2000), trade("x", 3000)]]):
+        rows = [(10 * i + j, text) for j, text in enumerate(texts)]
+        spark.createDataFrame(rows, "event_id bigint, value string").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("event_id bigint, value string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    paths = [str(tmp_path / n) for n in ("events", "bad", "state", "cp")]
+    start_trade_stream(stream, *paths, available_now=True).awaitTermination()
+    events = {r["timestamp"]: r for r in spark.read.parquet(paths[0]).collect()}
+    assert events[1]["log_return"] == 0.0 and events[1]["symbol"] == "BTC-USDT"
+    assert events[2]["log_return"] == pytest.approx(0.04879, abs=0.001)
+    assert sorted(r["reject_reason"] for r in spark.read.parquet(paths[1]).collect()) == ["malformed", "price"]
+
+
 def test_keyed_state_over_micro_batches_equals_batch(spark, ticks, tmp_path):
     folder = tmp_path / "ticks"
     tick_files(spark, ticks, folder)

@@ -59,45 +59,64 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return [tuple(node) for node in nodes]
 
 
+def _siblings_adjacent(feature, left, right):
+    """An order of the nodes, level by level, in which a right child follows its left one."""
+    order = [0]
+    for node in order:
+        if feature[node] != LEAF:
+            order += [left[node], right[node]]
+    return np.array(order, dtype=np.intp)
+
+
 def pack_forest(nodes) -> dict:
     """NODES rows (a pandas frame) as flat arrays, one block per tree.
 
-    A leaf points to itself with an infinite threshold, so a descent takes
-    the same number of steps for every row and needs no masks.
+    Right children sit behind left ones, so one step is left + (x > threshold).
+    A leaf points to itself with an infinite threshold: a descent takes the same
+    number of steps for every row and needs no masks.
     """
     nodes = nodes.sort_values(["tree_id", "node_id"])
     trees = []
     for _, tree in nodes.groupby("tree_id", sort=True):
-        own = tree["node_id"].to_numpy(dtype=np.int32)
-        if not np.array_equal(own, np.arange(len(own), dtype=np.int32)):
+        own = tree["node_id"].to_numpy()
+        if not np.array_equal(own, np.arange(len(own))):
             raise ValueError("node ids of a tree must be 0..n-1")
-        leaf = tree["feature"].to_numpy() == LEAF
-        threshold = tree["threshold"].to_numpy(dtype=float)
-        children = np.empty(2 * len(own), dtype=np.int32)
-        children[0::2] = np.where(leaf, own, tree["left"].to_numpy(dtype=np.int32))
-        children[1::2] = np.where(leaf, own, tree["right"].to_numpy(dtype=np.int32))
-        depth = tree["depth"].to_numpy(dtype=float)
+        feature = tree["feature"].to_numpy()
+        left = tree["left"].to_numpy()
+        order = _siblings_adjacent(feature, left, tree["right"].to_numpy())
+        place = np.empty(len(order), dtype=np.intp)
+        place[order] = np.arange(len(order))
+        leaf = feature[order] == LEAF
+        depth = tree["depth"].to_numpy(dtype=float)[order]
         trees.append({
-            "feature": np.where(leaf, 0, tree["feature"].to_numpy()).astype(np.int32),
-            "threshold": np.where(leaf, np.inf, threshold),
-            "children": children,
-            "path": depth + path_norm(tree["n_samples"].to_numpy()),
+            "feature": np.where(leaf, 0, feature[order]).astype(np.intp),
+            "threshold": np.where(leaf, np.inf, tree["threshold"].to_numpy(dtype=float)[order]),
+            "left": np.where(leaf, place[order], place[left[order]]).astype(np.intp),
+            "path": depth + path_norm(tree["n_samples"].to_numpy()[order]),
             "steps": int(depth.max()),
         })
     return {"trees": trees}
 
 
 def mean_path(forest: dict, columns: list[np.ndarray]) -> np.ndarray:
-    """Mean path length of each row of a batch over all trees."""
+    """Mean path length of each row of a batch over all trees; all buffers are reused."""
     n = len(columns[0])
     flat = np.concatenate(columns)
-    rows = np.arange(n)
-    total = np.zeros(n)
+    rows = np.arange(n, dtype=np.intp)
+    node, at, down = (np.empty(n, dtype=np.intp) for _ in range(3))
+    value, cut, total = np.empty(n), np.empty(n), np.zeros(n)
+    right = np.empty(n, dtype=bool)
     for tree in forest["trees"]:
-        node = np.zeros(n, dtype=np.int32)
+        node.fill(0)
+        start = tree["feature"] * n
         for _ in range(tree["steps"]):
-            value = flat[tree["feature"][node] * n + rows]
-            right = value > tree["threshold"][node]
-            node = tree["children"][2 * node + right]
-        total += tree["path"][node]
+            np.take(start, node, out=at, mode="clip")
+            np.add(at, rows, out=at)
+            np.take(flat, at, out=value, mode="clip")
+            np.take(tree["threshold"], node, out=cut, mode="clip")
+            np.greater(value, cut, out=right)
+            np.take(tree["left"], node, out=down, mode="clip")
+            np.add(down, right, out=node)
+        np.take(tree["path"], node, out=value, mode="clip")
+        total += value
     return total / len(forest["trees"])

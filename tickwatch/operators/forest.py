@@ -22,6 +22,8 @@ N_ESTIMATORS = 200
 CONTAMINATION = 0.01
 SEED = 42
 AUTO_SAMPLES = 256
+# One tree is built in one task and all trees are broadcast.
+MAX_SAMPLES = 65_536
 
 
 @dataclass
@@ -104,6 +106,8 @@ def _tree_builder(key: list[str], size: int, seed: int):
 def sample_size(n_rows: int, max_samples="auto") -> int:
     if max_samples == "auto":
         return min(AUTO_SAMPLES, n_rows)
+    if not 1 <= max_samples <= MAX_SAMPLES:
+        raise ValueError(f"max_samples must be within 1..{MAX_SAMPLES}")
     return min(int(max_samples), n_rows)
 
 
@@ -115,6 +119,10 @@ def fit_trees(
     slack = 6.0
     while True:
         drawn = draw_subsamples(scaled.select(*key, *FEATURES), key, n_rows, n_trees, size, seed, slack)
+        # Few bytes but much work per tree: adaptive execution would put all trees
+        # into one task, so the number of tasks is set here.
+        tasks = min(n_trees, 4 * scaled.sparkSession.sparkContext.defaultParallelism)
+        drawn = drawn.repartition(tasks, "tree_id")
         nodes = drawn.groupBy("tree_id").applyInPandas(_tree_builder(key, size, seed), NODES).toPandas()
         roots = nodes[nodes["node_id"] == 0]
         if len(roots) == n_trees and (roots["n_samples"] == size).all():

@@ -28,7 +28,12 @@ def quantiles(
         "quantiles",
     )
     keys = by + ["_v"]
-    ranged = with_range(counts, keys, split_points(counts.select(*keys), keys, rows_per_range))
+    points = split_points(counts.select(*keys), keys, rows_per_range)
+    if not points:
+        # No more distinct values than one range holds: a built-in buffer will do.
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        return _unnest(counts, F.percentile("_v", wanted, F.col("_c")), probs, by)
+    ranged = with_range(counts, keys, points)
 
     ranges = Window.partitionBy(*by).orderBy(RANGE)
     summary = (

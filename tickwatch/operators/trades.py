@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from tickwatch.functions.columns import floor_seconds, to_symbol
 from tickwatch.operators.returns import with_log_return
 from tickwatch.schema import TRADE
+from tickwatch.session import stage
 
 _BAD = "_bad"
 
@@ -83,8 +84,16 @@ def as_events(ticks: DataFrame, keep: tuple[str, ...] = ("event_id",)) -> DataFr
     )
 
 
-def normalize_trades(messages: DataFrame, rows_per_range: int | None = None) -> DataFrame:
-    """Messages (value, event_id) to market events, log returns included."""
+def normalize_trades(
+    messages: DataFrame, rows_per_range: int | None = None, materialize: bool = True
+) -> DataFrame:
+    """Messages (value, event_id) to market events, log returns included.
+
+    The ordered scan reads its input several times, so the text is parsed once
+    into a columnar table first (materialize=False leaves that out).
+    """
     ticks = messages.transform(parse_trades).transform(good_trades).transform(trade_ticks)
+    if materialize:
+        ticks = stage(ticks, "trades")
     returns = with_log_return(ticks, ("trade_time", "event_id"), rows_per_range=rows_per_range)
     return as_events(returns)

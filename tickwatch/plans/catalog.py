@@ -25,6 +25,7 @@ from tickwatch.sources.model_store import load_model, model_info, save_model
 from tickwatch.streaming.feature_stream import start_feature_stream
 from tickwatch.streaming.return_stream import start_return_stream, stateful_log_return
 from tickwatch.streaming.score_stream import start_score_stream
+from tickwatch.streaming.trade_stream import start_trade_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -452,7 +453,13 @@ def evaluate_injected(spark, sf_dir):
 
 @query
 def preset_scores(spark, sf_dir):
-    return flat(training.score_presets(spark, _trained(spark, sf_dir).model))
+    """The presets under the fitted model, each with the share of all rows that score lower."""
+    trained = _trained(spark, sf_dir)
+    presets = training.score_presets(spark, trained.model)
+    marks = {row["preset"]: row["anomaly_score"] for row in presets.collect()}
+    below = score(trained.rows, trained.model).agg(*[
+        F.avg((F.col("anomaly_score") < mark).cast("double")).alias(name) for name, mark in marks.items()])
+    return flat(presets.join(F.broadcast(below.unpivot([], list(marks), "preset", "share_below")), "preset"))
 
 
 @query
@@ -506,6 +513,18 @@ def stream_log_return(spark, sf_dir):
     return flat(spark.read.parquet(out).select("event_id", "symbol", "log_return"))
 
 
+@query
+def stream_normalized_trades(spark, sf_dir):
+    """Raw trade messages -> parse -> returns -> events, as a stream."""
+    names = ("messages", "events", "quarantine", "state", "checkpoint")
+    source, out, rejected, state, checkpoint = (scratch_path(spark, n) for n in names)
+    messages = trade_messages(spark, sf_dir)
+    messages.write.parquet(source)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", ALL_FILES).parquet(source)
+    start_trade_stream(stream, out, rejected, state, checkpoint, available_now=True).awaitTermination()
+    return flat(spark.read.parquet(out).drop("batch_id"))
+
+
 @query
 def stream_state_features(spark, sf_dir):
     """Keyed state feeding windows in one streaming query."""

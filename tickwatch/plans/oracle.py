@@ -269,6 +269,7 @@ good AS (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY t, event_id) AS
 SELECT event_id, t // 1000 AS timestamp, symbol, {r('price', 2)} AS price, {r('volume')} AS volume,
        {r('CASE WHEN previous IS NULL OR previous <= 0 THEN 0.0 WHEN price > 0 THEN ln(price / nullif(previous, 0)) END')} AS log_return,
        FALSE AS is_anomaly, NULL::VARCHAR AS anomaly_type, t // 1000 AS event_time FROM good"""
+    sql["stream_normalized_trades"] = sql["normalized_trades"]
     sql["trade_quarantine"] = f"""WITH {_TRADE_MESSAGES}
 SELECT reason AS reject_reason, count(*) AS n FROM msg WHERE reason <> 'other' GROUP BY reason"""
     sql["forward_symbol_map"] = """WITH s AS (

@@ -25,30 +25,43 @@ from tickwatch.schema import table
 from tickwatch.session import ship_package
 
 STATE = table("symbol string, price double, event_time timestamp, event_id bigint")
+STORED_STATE = T.StructType(
+    STATE.fields + [T.StructField("batch_id", T.LongType()), T.StructField("slot", T.LongType())])
+# The state table holds this many states; a batch number picks its place.
+SLOTS = 3
 
 
-def _state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """One row per symbol as it was before the batch."""
-    empty = spark.createDataFrame([], STATE)
     try:
-        stored = spark.read.schema(T.StructType(STATE.fields + [T.StructField("batch_id", T.LongType())])).parquet(path)
+        stored = spark.read.schema(STORED_STATE).parquet(path)
     except AnalysisException:
-        return empty
+        return spark.createDataFrame([], STATE)
     last = stored.where(F.col("batch_id") < batch_id).agg(F.max("batch_id").alias("b")).first()["b"]
     if last is None:
-        return empty
-    return stored.where(F.col("batch_id") == last).drop("batch_id")
+        return spark.createDataFrame([], STATE)
+    return stored.where((F.col("slot") == last % SLOTS) & (F.col("batch_id") == last)).select(*STATE.names)
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    # A repeated micro-batch replaces its own partition, so nothing doubles.
+def _replace_partition(df: DataFrame, path: str, column: str, value: int) -> None:
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        df.withColumn(column, F.lit(value).cast("bigint"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(path)
+        .partitionBy(column).parquet(path)
     )
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Append a micro-batch; a repeated one replaces its own partition, so nothing doubles."""
+    _replace_partition(df, path, "batch_id", batch_id)
+
+
+def write_state(state: DataFrame, path: str, batch_id: int) -> None:
+    """Keep the state after a batch in place of the one SLOTS batches ago."""
+    marked = state.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    _replace_partition(marked, path, "slot", batch_id % SLOTS)
+
+
 def returns_of_batch(ticks: DataFrame, state: DataFrame, rows_per_range: int | None = None) -> DataFrame:
     """Log returns of a micro-batch, continued from the kept last prices."""
     kept = state.select("symbol", "price", "event_time", "event_id").withColumn("_new", F.lit(0))
@@ -78,9 +91,9 @@ def start_return_stream(
     """ticks (symbol, price, event_time, event_id, ...) -> event table with log_return."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        state = _state_before(batch.sparkSession, state_path, batch_id)
-        _write_batch(returns_of_batch(batch, state, rows_per_range), path, batch_id)
-        _write_batch(state_after(batch, state), state_path, batch_id)
+        state = state_before(batch.sparkSession, state_path, batch_id)
+        write_batch(returns_of_batch(batch, state, rows_per_range), path, batch_id)
+        write_state(state_after(batch, state), state_path, batch_id)
 
     writer = ticks.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:

@@ -9,6 +9,7 @@ from tickwatch.operators.ordered import scan_in_order
 from tickwatch.operators.quality import split_valid
 from tickwatch.schema import FEATURES, PREDICTION
 from tickwatch.sources.model_store import latest_version, load_model
+from tickwatch.streaming.return_stream import write_batch
 
 # seq = batch number and position in the batch in one BIGINT.
 POSITION_BITS = 36
@@ -37,16 +38,8 @@ def start_score_stream(
             held.clear()
             held[version] = load_model(spark, model_path, version)
         valid, rejected = split_valid(batch)
-        for rows, path in (
-            (predictions_of_batch(valid, held[version], batch_id), predictions_path),
-            (rejected.select("symbol", *FEATURES, "reject_reasons"), rejects_path),
-        ):
-            # A repeated micro-batch replaces its own partition.
-            (
-                rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id").parquet(path)
-            )
+        write_batch(predictions_of_batch(valid, held[version], batch_id), predictions_path, batch_id)
+        write_batch(rejected.select("symbol", *FEATURES, "reject_reasons"), rejects_path, batch_id)
 
     writer = features.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
