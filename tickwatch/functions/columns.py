@@ -24,6 +24,15 @@ def _lookup(mapping: dict[str, str], key: Column) -> Column:
     return result
 
 
+def json_columns(text, schema, options: dict | None = None) -> Column:
+    """The fields of a JSON text as columns of a select, parsed once per row.
+
+    As a generator it stays below later filters; a filter on fields of a plain
+    from_json is pushed under the projection and parses the text again.
+    """
+    return F.inline(F.array(F.from_json(_col(text), schema, options or {})))
+
+
 def to_symbol(exchange_symbol) -> Column:
     """BTCUSDT in any case becomes BTC-USDT; unknown names pass through as given."""
     c = _col(exchange_symbol)

@@ -18,14 +18,15 @@ def rolling_stats(events: DataFrame, window: str = WINDOW, order_key: Column | N
     """Means, sample deviations and last values per symbol and tumbling window.
 
     The last value is the one of the latest event. `order_key` names that order;
-    it defaults to (event_time, event_id). Where each symbol arrives on one
-    ordered channel, its BIGINT offset is the cheapest key.
+    it defaults to (event_time, event_id), or event_time where there is no id.
+    Where each symbol arrives on one ordered channel, its BIGINT offset is the
+    cheapest key.
     Partial aggregation shrinks the data before the only shuffle, so a hot
     symbol or window costs no more than any other.
     """
     if order_key is None:
-        event_id = F.col("event_id") if "event_id" in events.columns else F.lit(0)
-        order_key = arrival_key("event_time", event_id)
+        known = "event_id" in events.columns
+        order_key = arrival_key("event_time", "event_id") if known else F.unix_micros("event_time")
     return events.groupBy("symbol", F.window("event_time", window)).agg(
         F.avg("log_return").alias("rolling_log_return_mean"),
         _std("log_return").alias("rolling_log_return_std"),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwatch.functions.columns import is_finite
+from tickwatch.functions.columns import is_finite, json_columns
 from tickwatch.schema import FEATURES, LABEL, REQUEST, STD_FEATURES, Z_FEATURES
 
 Z_LIMIT = 100
@@ -11,10 +11,8 @@ Z_LIMIT = 100
 
 def read_requests(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """JSON scoring requests as a feature frame; what is not a number becomes null."""
-    parsed = messages.select(*keep, F.from_json(F.col("value").cast("string"), REQUEST).alias("r"))
-    return parsed.select(
-        *keep, F.col("r.symbol").alias("symbol"),
-        *[F.col(f"r.{name}").try_cast("double").alias(name) for name in FEATURES])
+    parsed = messages.select(*keep, json_columns(F.col("value").cast("string"), REQUEST))
+    return parsed.select(*keep, "symbol", *[F.col(name).try_cast("double").alias(name) for name in FEATURES])
 
 
 def _reason(name: str, broken: Column, text: str) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwatch.functions.columns import floor_seconds, to_symbol
+from tickwatch.functions.columns import floor_seconds, json_columns, to_symbol
 from tickwatch.operators.returns import with_log_return
 from tickwatch.schema import TRADE
 from tickwatch.session import stage
@@ -20,20 +20,16 @@ def parse_trades(messages: DataFrame, keep: tuple[str, ...] = ("event_id",)) ->
     """
     schema = T.StructType(TRADE.fields + [T.StructField(_BAD, T.StringType())])
     text = F.col("value").cast("string")
-    parsed = messages.select(
-        *keep, text.alias("value"),
-        F.from_json(text, schema, {"columnNameOfCorruptRecord": _BAD}).alias("m"),
+    fields = json_columns(text, schema, {"columnNameOfCorruptRecord": _BAD})
+    typed = messages.select(*keep, text.alias("value"), fields).select(
+        *keep, "value", _BAD,
+        F.col("data.e").alias("_kind"),
+        F.col("data.s").alias("exchange_symbol"),
+        F.col("data.p").try_cast("double").alias("price"),
+        F.col("data.q").try_cast("double").alias("volume"),
+        F.col("data.T").try_cast("bigint").alias("trade_ms"),
     )
-    typed = parsed.select(
-        *keep, "value",
-        F.col("m").isNull().alias("_none"), F.col(f"m.{_BAD}").alias(_BAD),
-        F.col("m.data.e").alias("_kind"),
-        F.col("m.data.s").alias("exchange_symbol"),
-        F.col("m.data.p").try_cast("double").alias("price"),
-        F.col("m.data.q").try_cast("double").alias("volume"),
-        F.col("m.data.T").try_cast("bigint").alias("trade_ms"),
-    )
-    malformed = F.col("_none") | F.col(_BAD).isNotNull()
+    malformed = F.col("value").isNull() | F.col(_BAD).isNotNull()
     reason = (
         F.when(malformed, "malformed")
         .when(F.col("exchange_symbol").isNull(), "symbol")
@@ -44,7 +40,7 @@ def parse_trades(messages: DataFrame, keep: tuple[str, ...] = ("event_id",)) ->
     return (
         typed.where(malformed | (F.col("_kind") == "trade"))
         .withColumn("reject_reason", reason)
-        .drop("_none", _BAD, "_kind")
+        .drop(_BAD, "_kind")
     )
 
 

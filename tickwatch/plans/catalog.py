@@ -1,5 +1,6 @@
 """The registered queries: each operator over the provided tables."""
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -36,8 +37,14 @@ RULE_CUT = -1.5
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # The tables hold times without a zone; they are read as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickwatch.functions.columns import json_columns
 from tickwatch.schema import EVENT, table
 
 # Bounds a micro-batch, and with it what one key can bring into one task.
@@ -44,8 +45,8 @@ def decode_events(messages: DataFrame, keep: tuple[str, ...] = (), extra: str |
     carries source columns along (an offset); `extra` ("name type, ...") adds JSON fields.
     """
     schema = T.StructType(EVENT.fields + (table(extra).fields if extra else []))
-    parsed = messages.select(*keep, F.from_json(F.col("value").cast("string"), schema).alias("data"))
-    return parsed.select(*keep, "data.*").withColumn("event_time", F.timestamp_seconds("timestamp"))
+    parsed = messages.select(*keep, json_columns(F.col("value").cast("string"), schema))
+    return parsed.withColumn("event_time", F.timestamp_seconds("timestamp"))
 
 
 def encode_events(events: DataFrame) -> DataFrame:

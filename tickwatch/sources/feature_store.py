@@ -26,6 +26,6 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
         found = spark.read.schema(FEATURE).parquet(path)
     except AnalysisException as error:
         raise FileNotFoundError(f"no feature files in {path}") from error
-    if not found.inputFiles():
+    if found.isEmpty() and not found.inputFiles():
         raise FileNotFoundError(f"no feature files in {path}")
     return found.select(*FEATURE.names)
