@@ -120,12 +120,14 @@ def test_scoring_without_a_model(features):
 
 
 def test_preset_signs(spark):
-    run = training.train(market_features(spark, "/root/testdata/sf0.01", "1 hour"))
+    run = training.train(market_features(spark, "/root/testdata/sf0.1", "1 hour"))
     rows = {r["preset"]: r for r in training.score_presets(spark, run.model).collect()}
     assert rows["Normal"]["anomaly_score"] > 0 and not rows["Normal"]["is_anomaly"]
+    assert rows["Normal"]["gauge"] == pytest.approx(rows["Normal"]["anomaly_score"] * 20)
     for name in ("Price Spike", "Volume Spike", "Flash Crash"):
-        assert rows[name]["anomaly_score"] < rows["Normal"]["anomaly_score"]
-    assert rows["Price Spike"]["is_anomaly"] and rows["Price Spike"]["gauge"] == 100.0
+        assert rows[name]["is_anomaly"] and rows[name]["gauge"] == 100.0
+    flagged = forest.score(run.rows, run.model).where("is_anomaly").count()
+    assert flagged / run.rows.count() == pytest.approx(0.01, abs=0.003)
 
 
 def test_labelled_training_holds_out_a_fifth(trained):
