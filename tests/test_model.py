@@ -186,3 +186,15 @@ def test_classification_report(spark):
 def test_report_without_detections(spark):
     rows = {r["class"]: r for r in metrics.classification_report(labelled(spark, [(0, False), (1, False)])).collect()}
     assert (rows["1"]["precision"], rows["1"]["recall"], rows["1"]["f1"]) == (0.0, 0.0, 0.0)
+
+
+def test_scoring_is_a_map(features, trained):
+    plan = forest.score(features, trained.model)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def test_sample_size_is_bounded():
+    assert forest.sample_size(10**9) == 256 and forest.sample_size(100) == 100
+    assert forest.sample_size(1000, 64) == 64
+    with pytest.raises(ValueError):
+        forest.sample_size(10**9, 10**8)

@@ -97,3 +97,12 @@ def test_approximate_quantiles_are_close(ticks):
     exact = {r["prob"]: r["quantile"] for r in quantiles(ticks, "price", [0.5]).collect()}
     rough = {r["prob"]: r["quantile"] for r in quantiles_approx(ticks, "price", [0.5]).collect()}
     assert rough[0.5] == pytest.approx(exact[0.5], rel=0.02)
+
+
+def test_ranged_scan_shuffles_the_rows_once(ticks):
+    got = scan_in_order(ticks, ["symbol"], ORDER, lag={"p": "price"}, rows_per_range=50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # The rows themselves, the per-range summary, and the window over that summary.
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("partial_max_by") == 1
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
