@@ -1,0 +1,40 @@
+import random
+
+from tests_llm_helpers import rows_of
+from tickwatch.llm import queries, secret_forest
+
+SF = "/root/testdata/sf0.1"
+
+
+def test_query_scores_every_candidate(spark):
+    out = queries.QUERIES["op5_secret_forest"](spark, SF).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    expected = sum(len(secret_forest.CANDIDATE.findall(t or "")) for t in texts.values())
+    assert len(out) == expected > 100
+    at = out.apply(lambda r: texts[r.doc_id][r.start:r.start + r.length], axis=1)
+    keys, cards = at.str.fullmatch("[0-9a-f]{40}"), at.str.isdigit()
+    assert keys.sum() > 10 and (out.is_secret[keys]).all() and not out.is_secret[cards].any()
+
+
+def test_the_forest_learns_from_labelled_findings(spark):
+    draw = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        hexed = "".join(draw.choice("0123456789abcdef") for _ in range(40))
+        secret = i % 2 == 0
+        text = f'the {"token" if secret else "commit"} = "{hexed}" of run'
+        rows.append((i, text, "src/app" if secret else "docs/page"))
+        if i % 4 < 2:
+            labels.append((i, text.index(hexed), int(secret)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    findings = spark.createDataFrame(labels, "doc_id long, start int, label int")
+    out = rows_of(secret_forest.scan(docs, findings=findings))
+    assert len(out) == 400 and all(r["is_secret"] == (r["doc_id"] % 2 == 0) for r in out)
+
+
+def test_odd_rows(spark, documents, odd_rows):
+    assert secret_forest.scan(documents(odd_rows)).count() == 0
+    assert secret_forest.scan(documents([])).count() == 0
+    rows = [(None, 'password = "a1b2c3d4e5f6a7b8c9"'), (1, 'password = "a1b2c3d4e5f6a7b8c9"'), (1, 'password = "a1b2c3d4e5f6a7b8c9"')]
+    out = rows_of(secret_forest.scan(documents(rows)))
+    assert len(out) == 3 and {r["score"] for r in out} == {1.0} and {r["start"] for r in out} == {12}

@@ -122,8 +122,10 @@ def frequent_line_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     store = LineRuns(docs.sparkSession, min_docs)
     for i in range(batches):
         store.add(keys.filter(F.col("batch") == i).select("line_key"))
-    # A key that a third of all documents have makes a large partition of this join; it is split at run time.
-    return (keys.join(store.frequent(), "line_key")
+    # A key that a third of all documents have makes a large partition of this join. It is split at run time,
+    # which needs two plain exchanges below the join; so the frequent keys are written first.
+    frequent = stage(store.frequent(), "frequent-lines")
+    return (keys.join(frequent, "line_key")
             .groupBy(id_key("doc_id").alias("id")).agg(F.collect_set("line_key").alias("frequent")))
 
 

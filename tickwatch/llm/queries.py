@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwatch.llm import golay, line_runs, nb_svm, spaced_seeds, tree_bpe
+from tickwatch.llm import golay, host_lines, line_runs, nb_svm, secret_forest, spaced_seeds, suffix_dedup, surrogates, tree_bpe
 from tickwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,12 +22,30 @@ def sha256(text):
     return F.sha2(text.cast("binary"), 256)
 
 
+@query
+def op1_surrogates(spark, sf_dir):
+    # The key of a registered query is no secret; a user passes their own.
+    return surrogates.surrogate_texts(table(spark, sf_dir, "documents"), key="registered query")
+
+
+@query
+def op2_host_lines(spark, sf_dir):
+    return host_lines.line_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_removed_lines", "n_removed_words")
+
+
 @query
 def op3_simhash_components(spark, sf_dir):
     rows = golay.simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op5_secret_forest(spark, sf_dir):
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_spaced_seeds(spark, sf_dir):
     return spaced_seeds.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,6 +71,13 @@ def op8_tree_bpe(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_nb_svm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
