@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwatch.llm.common import texts
@@ -132,21 +132,44 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return left.join(right, "key").filter(near).select("a", "b").distinct()
 
 
+def fingerprint_components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp, root, component_id per distinct fp of rows (columns doc_id, fp); root names the component.
+
+    Only distinct fingerprints are joined and linked, so groups of equal texts
+    cost one row whatever their size.
+    """
+    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
+    roots = components(linked_fingerprints(fps, max_bits))
+    labelled = fps.join(roots, fps["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    return labelled.join(ids, "root").select("fp", "root", "component_id")
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp (signed long), component_id for every row of docs.
 
     component_id is the smallest doc_id linked through fingerprints at `max_bits`
     bits or fewer; null only where no id of the component is known. Texts without
     words, null ones too, have the fingerprint 0, linked like any other; repeated
-    rows share theirs. Only distinct fingerprints are joined and linked, so groups
-    of equal texts cost one row whatever their size.
+    rows share theirs.
     """
     ship_package(docs.sparkSession)
     rows = stage(texts(docs).select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash")
-    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    roots = components(linked_fingerprints(fps, max_bits))
-    labelled = fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = labelled.join(ids, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(fingerprint_components(rows, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The row with the smallest doc_id of every component, with the columns of docs.
+
+    Of repeated rows of that id one stays; where no id is known, one row of the component.
+    """
+    ship_package(docs.sparkSession)
+    rows = stage(docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        fingerprint_column(F.coalesce(docs["text"], F.lit("")), shingle).alias("fp")), "simhash-rows")
+    of_fp = fingerprint_components(rows.select("doc_id", "fp"), max_bits)
+    best = rows.join(of_fp, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Rows left per component: one, or repetitions of one id.
+    order = Window.partitionBy("root").orderBy("fp")
+    return best.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")
