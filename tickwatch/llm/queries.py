@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwatch.llm import golay, host_lines, line_runs, nb_svm, secret_forest, spaced_seeds, suffix_dedup, surrogates, tree_bpe
+from tickwatch.llm import golay, host_lines, line_runs, nb_svm, pitman_yor, secret_forest, spaced_seeds, suffix_dedup, surrogates, tree_bpe
 from tickwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op3_simhash_components(spark, sf_dir):
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op4_pitman_yor(spark, sf_dir):
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_secret_forest(spark, sf_dir):
     return secret_forest.scan(table(spark, sf_dir, "documents"))
