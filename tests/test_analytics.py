@@ -181,3 +181,16 @@ def test_injected_prices_move_in_the_right_direction(ticks):
             assert abs(r["log_return"]) < 1e-9
     one = inject_anomalies(flat, 0.2, 7)
     assert kept.exceptAll(one).count() == 0
+
+
+def test_rows_without_score_or_class_are_left_out(spark):
+    from tickwatch.schema import FEATURES
+
+    rows = [(flag, *([float(i)] * 5)) for i, flag in enumerate([True, False, False, None])]
+    rows.append((False, float("nan"), float("inf"), None, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "is_anomaly boolean, " + ", ".join(f"{c} double" for c in FEATURES))
+    counts = {r["class"]: r["n"] for r in analytics.class_breakdown(df).collect()}
+    assert counts == {"Normal": 3, "Anomaly": 1}
+    box = {(r["feature"], r["is_anomaly"]): r for r in analytics.feature_box_stats(df).collect()}
+    assert len(box) == 10
+    assert all(box[c, False]["mean"] == 1.5 for c in FEATURES[:3])

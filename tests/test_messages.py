@@ -81,3 +81,20 @@ def test_kafka_options():
     options = kafka_options("h:9092", "ticks")
     assert options["subscribe"] == "ticks" and options["startingOffsets"] == "latest"
     assert int(options["maxOffsetsPerTrigger"]) > 0
+
+
+@pytest.mark.parametrize("factor", [1000, 10**6, 10**9, -1])
+def test_times_in_another_unit_are_no_event_time(spark, factor):
+    from tickwatch.functions.columns import arrival_key
+
+    row = json.dumps({"timestamp": 1710000000 * factor, "symbol": "BTC-USDT", "price": 1.0})
+    out = decode_events(messages(spark, [row]), keep=("event_id",)).withColumn("k", arrival_key("event_time", "event_id"))
+    got = out.first()
+    assert got["event_time"] is None and got["k"] is None and got["price"] == 1.0
+
+
+@pytest.mark.parametrize("time", [1710000000000 * 1000, 1710000000000 * 10**6, -1, 9 * 10**18])
+def test_trades_with_such_times_go_to_quarantine(spark, time):
+    parsed = parse_trades(messages(spark, [trade(t=time), trade()]))
+    assert [(r["reject_reason"], r["n"]) for r in quarantine_counts(parsed).collect()] == [("time", 1)]
+    assert normalize_trades(messages(spark, [trade(t=time), trade()])).count() == 1

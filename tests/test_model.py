@@ -198,3 +198,17 @@ def test_sample_size_is_bounded():
     assert forest.sample_size(1000, 64) == 64
     with pytest.raises(ValueError):
         forest.sample_size(10**9, 10**8)
+
+
+def test_versions_that_are_equal_as_numbers_stay_apart(spark, tmp_path, features):
+    import dataclasses
+
+    from tickwatch.plans.catalog import small_forest
+    from tickwatch.sources.model_store import load_model, save_model
+
+    model = small_forest(features)
+    for version in ("1.0", "1.00"):
+        save_model(spark, dataclasses.replace(model, version=version), str(tmp_path))
+    for version in ("1.0", "1.00"):
+        loaded = load_model(spark, str(tmp_path), version)
+        assert len(loaded.nodes) == len(model.nodes) and loaded.version == version

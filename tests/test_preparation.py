@@ -127,3 +127,24 @@ def test_split_needs_two_rows_per_class(spark):
     df = spark.range(10).select("id", (F.col("id") == 0).cast("int").alias("y"))
     with pytest.raises(ValueError):
         stratified_rule(df, "y", ("id",))
+
+
+def test_split_does_not_depend_on_the_session_zone(spark):
+    df = spark.range(900).select(F.timestamp_seconds(F.col("id") * 3600).alias("t"), F.lit(0).alias("y"))
+    sides = []
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            _, test = train_test(df, stratified_rule(df, "y", ("t",)))
+            sides.append({r["s"] for r in test.select(F.unix_seconds("t").alias("s")).collect()})
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sides[0] == sides[1] and len(sides[0]) == 180
+
+
+def test_split_tells_nulls_in_keys_apart_and_names_missing_labels(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("n", "a"), ("", "a")], "k string, l string")
+    hashes = df.select(row_hash(("k", "l"), 1).alias("h")).distinct().count()
+    assert hashes == 4
+    with pytest.raises(ValueError, match="no y"):
+        stratified_rule(spark.createDataFrame([(1, None), (2, 1), (3, 1)], "id long, y int"), "y", ("id",))

@@ -46,6 +46,22 @@ def to_stream_name(symbol) -> Column:
     return F.coalesce(_lookup(SYMBOL_TO_STREAM, c), F.lower(F.replace(c, F.lit("-"), F.lit(""))))
 
 
+# Seconds of the years 1970 to 9999. Other numbers are times in another unit, or none.
+LAST_SECOND = 253_402_300_799
+
+
+def valid_seconds(seconds) -> Column:
+    """Epoch seconds inside the years 1970 to 9999; null for anything else, so that no conversion overflows."""
+    c = _col(seconds)
+    return F.when(c.between(0, LAST_SECOND), c)
+
+
+def valid_millis(millis) -> Column:
+    """Epoch milliseconds inside the years 1970 to 9999; null for anything else."""
+    c = _col(millis)
+    return F.when(c.between(0, LAST_SECOND * 1000 + 999), c)
+
+
 def floor_seconds(millis) -> Column:
     """Epoch milliseconds to whole seconds, rounding down also below zero."""
     c = _col(millis)

@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwatch.functions.columns import alert_text, display_text
+from tickwatch.functions.columns import alert_text, display_text, is_finite
 from tickwatch.operators.ordered import scan_in_order, trailing_mean
 from tickwatch.operators.quantiles import quantiles, quantiles_approx, quantiles_bounded
 from tickwatch.schema import FEATURES
@@ -159,9 +159,12 @@ def score_histogram(predictions: DataFrame, bins: int = HISTOGRAM_BINS) -> DataF
 def feature_box_stats(
     predictions: DataFrame, method: str = "exact", rows_per_range: int | None = None
 ) -> DataFrame:
-    """Per feature and class: quartiles, mean and whiskers (the last values within 1.5 IQR)."""
+    """Per feature and class: quartiles, mean and whiskers (the last values within 1.5 IQR).
+
+    Values that are null, NaN or infinite and rows without a class are left out of all of them.
+    """
     long = predictions.select("is_anomaly", *FEATURES).unpivot("is_anomaly", FEATURES, "feature", "value")
-    long = long.where(F.col("value").isNotNull())
+    long = long.where(is_finite("value") & F.col("is_anomaly").isNotNull())
     by = ["feature", "is_anomaly"]
     rows = _quantiles(long, "value", [0.25, 0.5, 0.75], by, method, rows_per_range)
 
@@ -181,8 +184,8 @@ def feature_box_stats(
 
 
 def class_breakdown(predictions: DataFrame) -> DataFrame:
-    """Always two rows: Normal and Anomaly."""
-    wide = predictions.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("a"))
+    """Always two rows: Normal and Anomaly. Rows without a score are neither."""
+    wide = predictions.where(F.col("is_anomaly").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("a"))
     rows = [
         F.struct(F.lit("Normal").alias("class"), (F.col("n") - F.col("a")).alias("n")),
         F.struct(F.lit("Anomaly").alias("class"), F.col("a").alias("n")),

@@ -25,15 +25,23 @@ class SplitRule:
     seed: int
     cuts: dict[int, str]
 
-    def test_column(self) -> Column:
+    def test_column(self, df: DataFrame) -> Column:
+        """True for rows of the test part; df tells the types of the key columns."""
         test = F.lit(False)
         for value, cut in self.cuts.items():
-            test = F.when(F.col(self.label) == value, row_hash(self.key, self.seed) <= cut).otherwise(test)
+            test = F.when(F.col(self.label) == value, row_hash(self.key, self.seed, df) <= cut).otherwise(test)
         return test
 
 
-def row_hash(key: tuple[str, ...], seed: int) -> Column:
-    return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
+def _text(df: DataFrame | None, name: str) -> Column:
+    """A key column as text: times as epoch microseconds whatever the session's zone, null apart from any text."""
+    c = F.col(name)
+    c = F.unix_micros(c) if df is not None and dict(df.dtypes)[name] == "timestamp" else c
+    return F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
+
+
+def row_hash(key: tuple[str, ...], seed: int, df: DataFrame | None = None) -> Column:
+    return F.md5(F.concat_ws("\0", *[_text(df, c) for c in key], F.lit(str(seed))))
 
 
 def _cut(hashes: DataFrame, need: int, prefix: str = "") -> str:
@@ -67,10 +75,12 @@ def stratified_rule(
 ) -> SplitRule:
     """Cut-offs that put round(test_share * n) rows of each label value in the test part."""
     sizes = {row[label]: row["n"] for row in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if None in sizes:
+        raise ValueError(f"{sizes[None]} rows have no {label}; label or drop them first")
     small = [value for value, n in sizes.items() if n < 2]
     if small:
         raise ValueError(f"each label value needs two rows or more; too few for {small}")
-    hashes = df.select(label, row_hash(key, seed).alias("_h"))
+    hashes = df.select(label, row_hash(key, seed, df).alias("_h"))
     cuts = {}
     for value, n in sizes.items():
         need = int(n * test_share + 0.5)
@@ -80,5 +90,5 @@ def stratified_rule(
 
 
 def train_test(df: DataFrame, rule: SplitRule) -> tuple[DataFrame, DataFrame]:
-    marked = df.withColumn("_test", rule.test_column())
+    marked = df.withColumn("_test", rule.test_column(df))
     return marked.where(~F.col("_test")).drop("_test"), marked.where("_test").drop("_test")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwatch.functions.columns import floor_seconds, json_columns, to_symbol
+from tickwatch.functions.columns import floor_seconds, json_columns, to_symbol, valid_millis
 from tickwatch.operators.returns import with_log_return
 from tickwatch.schema import TRADE
 from tickwatch.session import stage
@@ -15,7 +15,8 @@ _BAD = "_bad"
 def parse_trades(messages: DataFrame, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Trade messages with typed columns and a reject_reason (null for a good one).
 
-    Other message kinds are dropped; what cannot be read is kept with its reason,
+    A trade time that is no time in milliseconds of the years 1970 to 9999 has the
+    reason "time". Other message kinds are dropped; what cannot be read is kept with its reason,
     so that one bad message neither stops the job nor disappears.
     """
     schema = T.StructType(TRADE.fields + [T.StructField(_BAD, T.StringType())])
@@ -27,7 +28,7 @@ def parse_trades(messages: DataFrame, keep: tuple[str, ...] = ("event_id",)) ->
         F.col("data.s").alias("exchange_symbol"),
         F.col("data.p").try_cast("double").alias("price"),
         F.col("data.q").try_cast("double").alias("volume"),
-        F.col("data.T").try_cast("bigint").alias("trade_ms"),
+        valid_millis(F.col("data.T").try_cast("bigint")).alias("trade_ms"),
     )
     malformed = F.col("value").isNull() | F.col(_BAD).isNotNull()
     reason = (

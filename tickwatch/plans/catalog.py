@@ -94,10 +94,15 @@ def tick_log_return_lineitem(spark, sf_dir):
 
 
 def event_messages(spark, sf_dir) -> DataFrame:
-    """`events` as JSON messages; every 50th is cut short, every 51st has a bad price."""
+    """`events` as JSON messages; every 50th is cut short, every 51st has a bad price.
+
+    Of every 53 messages four give their time in ms, us, ns and below zero.
+    """
+    seconds, turn = F.unix_seconds("event_time"), F.col("event_id") % 53
     events = domain.market_ticks(spark, sf_dir).select(
         "event_id",
-        F.unix_seconds("event_time").alias("timestamp"), "symbol", "price", "volume",
+        F.when(turn == 1, seconds * 1000).when(turn == 2, seconds * 1_000_000).when(turn == 3, seconds * 1_000_000_000)
+        .when(turn == 4, -seconds).otherwise(seconds).alias("timestamp"), "symbol", "price", "volume",
         F.lit(0.0).alias("log_return"), "is_anomaly", F.lit(None).cast("string").alias("anomaly_type"))
     text = encode_events(events.drop("event_id")).columns[0]
     whole = events.select("event_id", F.to_json(F.struct(*events.columns[1:])).alias(text))
@@ -117,12 +122,14 @@ def trade_messages(spark, sf_dir) -> DataFrame:
     name = (F.when(F.col("event_type") == "click", "BTCUSDT").when(F.col("event_type") == "error", "ethusdt")
             .when(F.col("event_type") == "view", "BnbUsdt").otherwise(F.upper("event_type")))
     i = F.col("event_id")
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
     trade = F.struct(
         F.when(F.col("event_type") == "signup", "kline").otherwise("trade").alias("e"),
         F.when(i % 40 != 7, name).alias("s"),
         F.when(i % 40 == 11, "n/a").otherwise(F.col("value").cast("string")).alias("p"),
         F.get_json_object("props", "$.k").alias("q"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("T"))
+        F.when(i % 40 == 19, millis * 1000).when(i % 40 == 23, millis * 1_000_000).when(i % 40 == 29, -millis)
+        .otherwise(millis).alias("T"))
     text = F.to_json(F.struct(trade.alias("data")))
     text = F.when(i % 40 == 13, F.concat(F.lit("not json "), text)).when(i % 40 == 17, F.lit('{"id": 1}')).otherwise(text)
     return domain.read(spark, sf_dir, "events").select("event_id", text.alias("value"))
@@ -192,7 +199,7 @@ def label_mode(spark, sf_dir):
 def stratified_split(spark, sf_dir):
     rows = stage(domain.market_features(spark, sf_dir, "1 hour").select(*training.KEY, LABEL), "split")
     rule = stratified_rule(rows, LABEL, training.KEY, training.TEST_SHARE, 42)
-    return flat(rows.withColumn("is_test", rule.test_column()))
+    return flat(rows.withColumn("is_test", rule.test_column(rows)))
 
 
 @query
@@ -490,7 +497,10 @@ def _messages_table(spark, sf_dir) -> str:
     """The events as JSON text files, the file form of a topic."""
     path = scratch_path(spark, "messages")
     events = domain.market_events(spark, sf_dir).withColumn("timestamp", F.unix_seconds("event_time"))
-    encode_events(events.withColumn("micros", F.unix_micros("event_time")).drop("event_time")).write.text(path)
+    # Copies whose time is in another unit: a stream must pass over them.
+    wrong = events.where("event_id % 97 = 5").withColumn("timestamp", F.col("timestamp") * F.element_at(
+        F.array(*[F.lit(k) for k in (1000, 1_000_000, 1_000_000_000, -1)]), (F.col("event_id") % 4 + 1).cast("int")))
+    encode_events(events.unionByName(wrong).drop("event_time")).write.text(path)
     return path
 
 

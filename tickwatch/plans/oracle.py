@@ -237,7 +237,8 @@ msg AS (
          CASE WHEN event_id % 40 = 13 THEN 'malformed'
               WHEN event_id % 40 = 17 OR event_type = 'signup' THEN 'other'
               WHEN event_id % 40 = 7 THEN 'symbol'
-              WHEN event_id % 40 = 11 THEN 'price' END AS reason
+              WHEN event_id % 40 = 11 THEN 'price'
+              WHEN event_id % 40 IN (19, 23, 29) THEN 'time' END AS reason
   FROM events)"""
 
 _SQL_STREAM_FEATURES = f"{_F6} SELECT {_FEATURE_ROW} FROM feat WHERE {_CLOSED}"
@@ -258,12 +259,13 @@ def oracle_sql() -> dict[str, str]:
     }
     bad = "event_id % 50 = 0"
     sql["decode_messages"] = f"""WITH {_EVENT_TICKS}
-SELECT event_id, CASE WHEN NOT {bad} THEN CAST(floor(epoch(ts)) AS BIGINT) END AS timestamp,
+SELECT event_id, CASE WHEN NOT {bad} THEN CAST(floor(epoch(ts)) AS BIGINT) * (CASE event_id % 53
+         WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 3 THEN 1000000000 WHEN 4 THEN -1 ELSE 1 END) END AS timestamp,
        CASE WHEN NOT {bad} THEN symbol END AS symbol,
        CASE WHEN NOT {bad} AND event_id % 51 <> 0 THEN {r('price')} END AS price,
        CASE WHEN NOT {bad} THEN {r('volume')} END AS volume, CASE WHEN NOT {bad} THEN 0.0::DOUBLE END AS log_return,
        CASE WHEN NOT {bad} THEN is_anomaly END AS is_anomaly, NULL::VARCHAR AS anomaly_type,
-       CASE WHEN NOT {bad} THEN CAST(floor(epoch(ts)) AS BIGINT) END AS event_time FROM ev"""
+       CASE WHEN NOT {bad} AND event_id % 53 NOT IN (1, 2, 3, 4) THEN CAST(floor(epoch(ts)) AS BIGINT) END AS event_time FROM ev"""
     sql["normalized_trades"] = f"""WITH {_TRADE_MESSAGES},
 good AS (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY t, event_id) AS previous FROM msg WHERE reason IS NULL)
 SELECT event_id, t // 1000 AS timestamp, symbol, {r('price', 2)} AS price, {r('volume')} AS volume,
@@ -294,7 +296,7 @@ SELECT count(*) AS n_rows, CAST(sum(is_anomaly) AS BIGINT) AS n_anomalies, {r('a
 ranked AS (
   SELECT symbol, window_start, is_anomaly, count(*) OVER (PARTITION BY is_anomaly) AS n,
          row_number() OVER (PARTITION BY is_anomaly ORDER BY
-           md5(symbol || ':' || strftime(window_start, '%Y-%m-%d %H:%M:%S') || ':42')) AS rn
+           md5('s' || symbol || chr(0) || 's' || epoch_us(window_start) || chr(0) || '42')) AS rn
   FROM feat)
 SELECT symbol, {_epoch('window_start')}, is_anomaly, rn <= floor(n * 0.2 + 0.5) AS is_test FROM ranked"""
     sql["scaler_fit"] = f"""{_F6}, long AS ({_long('feat')})

@@ -1,5 +1,6 @@
 """Session settings, shared scratch space and lineage cutting."""
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -69,6 +70,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tickwatch/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def staged(df: DataFrame, name: str = "stage"):
+    """A staged table that is deleted at the end of the block, also after an error."""
+    path = scratch_path(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete_path(df.sparkSession, path)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwatch.functions.columns import json_columns
+from tickwatch.functions.columns import json_columns, valid_seconds
 from tickwatch.schema import EVENT, table
 
 # Bounds a micro-batch, and with it what one key can bring into one task.
@@ -24,7 +24,7 @@ def kafka_options(servers: str, topic: str, starting: str = "latest",
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str, starting: str = "latest",
                    max_offsets: int = MAX_OFFSETS_PER_TRIGGER) -> DataFrame:
-    """Messages of a topic as a stream; the offset is the arrival order within a symbol."""
+    """Messages of a topic as a stream; event_id is the offset, which orders messages within a partition."""
     options = kafka_options(servers, topic, starting, max_offsets)
     raw = spark.readStream.format("kafka").options(**options).load()
     return raw.select("value", F.col("offset").alias("event_id"))
@@ -41,12 +41,13 @@ def text_message_stream(spark: SparkSession, path: str, max_files: int = MAX_FIL
 def decode_events(messages: DataFrame, keep: tuple[str, ...] = (), extra: str | None = None) -> DataFrame:
     """JSON messages to event columns plus event_time.
 
-    A malformed message gives all nulls, a bad field a null in that field. `keep`
+    A malformed message gives all nulls, a bad field a null in that field, and a
+    timestamp outside the years 1970 to 9999 (another unit) no event_time. `keep`
     carries source columns along (an offset); `extra` ("name type, ...") adds JSON fields.
     """
     schema = T.StructType(EVENT.fields + (table(extra).fields if extra else []))
     parsed = messages.select(*keep, json_columns(F.col("value").cast("string"), schema))
-    return parsed.withColumn("event_time", F.timestamp_seconds("timestamp"))
+    return parsed.withColumn("event_time", F.timestamp_seconds(valid_seconds("timestamp")))
 
 
 def encode_events(events: DataFrame) -> DataFrame:

@@ -35,13 +35,18 @@ def save_model(spark: SparkSession, model: ForestModel, path: str) -> None:
 
 
 def _meta(spark: SparkSession, path: str) -> DataFrame | None:
-    schema = T.StructType(META.fields + [T.StructField("saved_at", T.TimestampType())])
     try:
-        return spark.read.schema(schema).parquet(f"{path}/meta")
+        return _table(spark, f"{path}/meta", META.fields + [T.StructField("saved_at", T.TimestampType())])
     except AnalysisException:
         return None
 
 
+def _table(spark: SparkSession, path: str, fields: list[T.StructField]) -> DataFrame:
+    """A model table with its version as text: as a number, 1.0 and 1.00 would be one version."""
+    schema = T.StructType([f for f in fields if f.name != "model_version"] + [T.StructField("model_version", T.StringType())])
+    return spark.read.schema(schema).parquet(path)
+
+
 def latest_version(spark: SparkSession, path: str) -> str | None:
     meta = _meta(spark, path)
     if meta is None:
@@ -59,8 +64,8 @@ def load_model(spark: SparkSession, path: str, version: str | None = None) -> Fo
     meta = _meta(spark, path).where(chosen).first()
     if meta is None:
         return None
-    scaler = spark.read.parquet(f"{path}/scaler").where(chosen).orderBy("position").collect()
-    nodes = spark.read.parquet(f"{path}/nodes").where(chosen).select(*NODES.names).toPandas()
+    scaler = _table(spark, f"{path}/scaler", SCALER.fields).where(chosen).orderBy("position").collect()
+    nodes = _table(spark, f"{path}/nodes", NODES.fields).where(chosen).select(*NODES.names).toPandas()
     return ForestModel(
         nodes=nodes,
         means=[row["mean"] for row in scaler],
@@ -74,9 +79,9 @@ def load_model(spark: SparkSession, path: str, version: str | None = None) -> Fo
 def model_files(spark: SparkSession, path: str, version: str) -> DataFrame:
     """One row: total size in KB and last change of a version's files."""
     parts = [
-        spark.read.parquet(f"{path}/{table}").where(F.col("model_version") == version)
+        _table(spark, f"{path}/{name}", fields).where(F.col("model_version") == version)
         .select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        for table in ("scaler", "nodes", "meta")
+        for name, fields in (("scaler", SCALER.fields), ("nodes", NODES.fields), ("meta", META.fields))
     ]
     files = parts[0].union(parts[1]).union(parts[2]).distinct()
     return files.agg(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickwatch.operators.trades import as_events, good_trades, parse_trades, quarantine, trade_ticks
-from tickwatch.session import stage
+from tickwatch.session import staged
 from tickwatch.streaming.return_stream import (
     returns_of_batch,
     state_after,
@@ -22,13 +22,13 @@ def start_trade_stream(
     """messages (value, event_id) -> events with log returns; unreadable ones go to quarantine."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # Several passes follow; the text is parsed once.
-        parsed = stage(parse_trades(batch), "trades")
-        ticks = trade_ticks(good_trades(parsed)).withColumn("event_time", F.col("trade_time"))
-        state = state_before(batch.sparkSession, state_path, batch_id)
-        write_batch(as_events(returns_of_batch(ticks, state, rows_per_range)), path, batch_id)
-        write_batch(quarantine(parsed), quarantine_path, batch_id)
-        write_state(state_after(ticks, state), state_path, batch_id)
+        # Several passes follow; the text is parsed once, and the table goes with the micro-batch.
+        with staged(parse_trades(batch), "trades") as parsed:
+            ticks = trade_ticks(good_trades(parsed)).withColumn("event_time", F.col("trade_time"))
+            state = state_before(batch.sparkSession, state_path, batch_id)
+            write_batch(as_events(returns_of_batch(ticks, state, rows_per_range)), path, batch_id)
+            write_batch(quarantine(parsed), quarantine_path, batch_id)
+            write_state(state_after(ticks, state), state_path, batch_id)
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
