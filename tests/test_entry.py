@@ -1,11 +1,12 @@
 import __spark_entry__ as entry
+from tickwatch.plans import catalog
 
 
 def test_every_sql_twin_has_a_query():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
     # What no SQL states: the fitted forest and the metadata of its files.
-    assert set(queries) - set(sql) == {
+    assert set(catalog.QUERIES) - set(sql) == {
         "forest_fit_score", "evaluate_model", "evaluate_injected", "preset_scores", "model_info_row"}
 
 
