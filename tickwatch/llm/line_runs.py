@@ -15,6 +15,7 @@ empty texts are one empty line. A null doc_id is an id like any other.
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -61,22 +62,29 @@ def document_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return texts(docs).mapInArrow(extract, "doc_id long, line_key binary")
 
 
+class Run(NamedTuple):
+    """A bucketed table and the folder of its files."""
+
+    table: DataFrame
+    path: str
+
+
 class LineRuns:
     """The runs of one corpus, level by level."""
 
     def __init__(self, spark: SparkSession, limit: int, fanout: int = FANOUT, buckets: int = BUCKETS):
         self.spark, self.limit, self.fanout, self.buckets = spark, limit, fanout, buckets
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[Run]] = []
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame) -> Run:
+        name, path = f"line_run_{uuid.uuid4().hex}", scratch_path(self.spark, "line-run")
         (rows.repartition(self.buckets, "line_key").write.format("parquet")
-         .option("path", scratch_path(self.spark, "line-run"))
+         .option("path", path)
          .bucketBy(self.buckets, "line_key").sortBy("line_key").saveAsTable(name))
-        return self.spark.table(name)
+        return Run(self.spark.table(name), path)
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run.table for level in self.levels for run in level]
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Count a batch of keys (column line_key) and return the run it added."""
@@ -89,7 +97,7 @@ class LineRuns:
         run = self._write(batch)
         self.levels[0].append(run)
         self._compact()
-        return run
+        return run.table
 
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
@@ -100,15 +108,15 @@ class LineRuns:
             self.levels[i + 1].append(self._write(self._total(level)))
             level.clear()
 
-    def _total(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
+    def _total(self, runs: list[Run]) -> DataFrame:
+        # Read as plain files: a union of bucketed tables claims their partitioning, but its columnar
+        # form appends partitions instead of pairing them, and equal keys would not meet.
+        rows = self.spark.read.schema("line_key binary, docs long").parquet(*[run.path for run in runs])
         return rows.groupBy("line_key").agg(F.sum("docs").alias("docs"))
 
     def frequent(self) -> DataFrame:
         """line_key of the keys that reached the limit."""
-        runs = self.runs()
+        runs = [run for level in self.levels for run in level]
         if not runs:
             return self.spark.createDataFrame([], "line_key binary")
         return self._total(runs).filter(F.col("docs") >= self.limit).select("line_key")
