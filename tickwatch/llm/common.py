@@ -1,5 +1,10 @@
 """Small helpers shared by the corpus operators."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +51,17 @@ def remainder(column: str | Column, n: int) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(start, end) of stretches of whole texts: `most` bytes at most, or one text.
+
+    An Arrow batch counts rows, not bytes; its Python copies are made one stretch at a time.
+    """
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + most, "right")) - 1)
+        yield start, end
+        start = end

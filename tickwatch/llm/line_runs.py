@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwatch.llm.common import SPACES, id_key, texts
+from tickwatch.llm.common import SPACES, id_key, slices, texts
 from tickwatch.session import scratch_path, ship_package, stage
 
 BATCHES = 4
@@ -38,9 +37,9 @@ def line_key(line: bytes) -> bytes:
     return xxhash.xxh128_digest(line.strip(_SPACES).lower())
 
 
-def _distinct_keys(text: str, min_chars: int) -> list[bytes]:
+def _distinct_keys(text: bytes, min_chars: int) -> list[bytes]:
     kept = set()
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+    for line in text.split(b"\n"):
         line = line.strip(_SPACES)
         if len(line) >= min_chars and (min_chars < 2 or len(line.decode("utf-8", "replace")) >= min_chars):
             kept.add(xxhash.xxh128_digest(line.lower()))
@@ -53,11 +52,13 @@ def document_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_distinct_keys(t, min_chars) for t in batch.column("text").to_pylist()]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), sizes)))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([k for keys in found for k in keys], pa.binary())], ["doc_id", "line_key"])
+            text, doc_id = batch.column("text").cast(pa.binary()), batch.column("doc_id")
+            for start, end in slices(text):
+                found = [_distinct_keys(t.as_py(), min_chars) for t in text[start:end]]
+                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                ids = doc_id.take(pa.array(np.repeat(np.arange(start, end), sizes)))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([k for keys in found for k in keys], pa.binary())], ["doc_id", "line_key"])
 
     return texts(docs).mapInArrow(extract, "doc_id long, line_key binary")
 
@@ -137,16 +138,20 @@ def frequent_line_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
             .groupBy(id_key("doc_id").alias("id")).agg(F.collect_set("line_key").alias("frequent")))
 
 
-def _rewrite(text: pd.Series, frequent: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, keys in zip(text, frequent):
-        lines = t.split("\n")
-        kept = lines
-        if keys is not None and len(keys):
-            drop = set(map(bytes, keys))
-            kept = [x for x in lines if line_key(x.encode("utf-8", "surrogatepass")) not in drop]
-        out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
+def _rewrite(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for text, frequent in batches:
+        text = text.cast(pa.binary())
+        for start, end in slices(text):
+            sizes, kept = [], []
+            for t, keys in zip(text[start:end], frequent[start:end]):
+                lines, drop = t.as_py().split(b"\n"), set(keys.as_py() or ())
+                left = [x for x in lines if line_key(x) not in drop] if drop else lines
+                sizes.append((len(lines), len(lines) - len(left)))
+                kept.append(b"\n".join(left))
+            n_lines, n_dropped = zip(*sizes)
+            yield pa.StructArray.from_arrays(
+                [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())],
+                ["n_lines", "n_dropped", "kept"])
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES,
@@ -156,7 +161,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1, b
     A line goes from every document when its key occurs in `min_docs` documents
     or more; lines with shorter keys stay. An empty table gives no rows.
     """
-    rewrite = F.pandas_udf(_rewrite, "n_lines long, n_dropped long, kept string")
+    rewrite = F.arrow_udf(_rewrite, "n_lines long, n_dropped long, kept string")
     frequent = frequent_line_keys(docs, min_docs, min_chars, batches)
     row = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")] if keep else []
     rows = docs.select(id_key(docs["doc_id"].cast("long")).alias("id"), docs["doc_id"].cast("long").alias("doc_id"),
