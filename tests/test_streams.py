@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tickwatch.sources.events import decode_events, text_message_stream
 from tickwatch.sources.feature_store import read_features, write_features
 from tickwatch.sources.model_store import save_model
 from tickwatch.streaming.feature_stream import start_feature_stream
-from tickwatch.streaming.return_stream import start_return_stream, stateful_log_return
+from tickwatch.streaming.return_stream import start_return_stream, state_before, stateful_log_return
 from tickwatch.streaming.score_stream import start_score_stream
 from tickwatch.streaming.trade_stream import start_trade_stream
 
@@ -185,3 +186,10 @@ def test_no_machine_local_folder_on_a_cluster():
 
 def test_event_schema_is_the_message_format():
     assert EVENT.names == ["timestamp", "symbol", "price", "volume", "log_return", "is_anomaly", "anomaly_type"]
+
+
+def test_only_the_first_batch_may_find_no_state(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert state_before(spark, path, 0).isEmpty()
+    with pytest.raises(AnalysisException):
+        state_before(spark, path, 1)

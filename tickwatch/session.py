@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Executors may be lost at any time, so intermediate tables live in the shared
@@ -70,6 +71,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tickwatch/{name}-{uuid.uuid4().hex}"
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing at its path yet, not for another reason."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from tickwatch.schema import FEATURE
+from tickwatch.session import is_missing
 
 
 def write_features(features: DataFrame, path: str, mode: str = "append") -> None:
@@ -25,6 +26,8 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     try:
         found = spark.read.schema(FEATURE).parquet(path)
     except AnalysisException as error:
+        if not is_missing(error):
+            raise
         raise FileNotFoundError(f"no feature files in {path}") from error
     if found.isEmpty() and not found.inputFiles():
         raise FileNotFoundError(f"no feature files in {path}")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tickwatch.operators.forest import ForestModel
 from tickwatch.schema import FEATURES, META, NODES, SCALER
+from tickwatch.session import is_missing
 
 
 def _write(df: DataFrame, version: str, path: str) -> None:
@@ -37,7 +38,9 @@ def save_model(spark: SparkSession, model: ForestModel, path: str) -> None:
 def _meta(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return _table(spark, f"{path}/meta", META.fields + [T.StructField("saved_at", T.TimestampType())])
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         return None
 
 

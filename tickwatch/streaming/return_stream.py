@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickwatch.functions.columns import log_return
 from tickwatch.operators.ordered import scan_in_order
 from tickwatch.schema import table
-from tickwatch.session import ship_package
+from tickwatch.session import is_missing, ship_package
 
 STATE = table("symbol string, price double, event_time timestamp, event_id bigint")
 STORED_STATE = T.StructType(
@@ -32,10 +32,16 @@ SLOTS = 3
 
 
 def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """One row per symbol as it was before the batch."""
+    """One row per symbol as it was before the batch.
+
+    Only the first batch may find no state; a state that is gone later is an error,
+    as all symbols would start again at a log return of 0.
+    """
     try:
         stored = spark.read.schema(STORED_STATE).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if batch_id > 0 or not is_missing(error):
+            raise
         return spark.createDataFrame([], STATE)
     last = stored.where(F.col("batch_id") < batch_id).agg(F.max("batch_id").alias("b")).first()["b"]
     if last is None:
