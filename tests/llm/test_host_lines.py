@@ -48,6 +48,18 @@ def test_lines_are_counted_per_host_and_depleted_documents_go(spark):
     assert "PAGE" not in texts[3] and texts[3] == rows[3][1].split("\n")[1] and texts[100] == rows[12][1]
 
 
+def test_the_limit_does_not_rise_with_the_host(spark):
+    F = host_lines.F
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: F.translate(
+        F.concat(F.lit("q"), k, F.lit("x"), F.col("doc_id")), "0123456789", "abcdefghij")), " ")
+    line = F.when(F.col("doc_id") < 60, F.lit("the same passage here\n")).when(
+        F.col("doc_id").between(100, 109), F.lit("a passage of ten\n")).otherwise(F.lit(""))
+    docs = spark.range(6500).select(F.col("id").alias("doc_id")).select(
+        "doc_id", F.concat(line, own).alias("text"), F.lit("hot").alias("source"))
+    out = host_lines.line_rules(docs).filter("n_removed_lines > 0")
+    assert sorted((r["doc_id"], r["n_removed_lines"]) for r in out.collect()) == [(i, 1) for i in range(60)]
+
+
 def test_odd_rows(spark, documents, odd_rows):
     out = rows_of(host_lines.line_rules(documents(odd_rows)))
     assert sorted(tuple(r[c] for c in COUNTS) for r in out) == sorted(brute(t) for _, t in odd_rows)

@@ -2,9 +2,10 @@
 
 Lines are normalised (lower case, digits to 0, runs of white space and
 punctuation to one blank) and hashed; per host the documents that have a line
-are counted. Lines in more than `min_docs` documents and more than `share` of
-the documents of their host are boilerplate: they are removed, and a document
-that keeps less than `least_kept` of its words is depleted and rejected.
+are counted. Lines in more than `min_docs` documents of their host are
+boilerplate, however large the host: they are removed, and a document that keeps
+less than `least_kept` of its words is depleted and rejected. A caller can ask
+for more than a `share` of the host's documents as well.
 
 A row is a document; repeated rows count each. Null texts have no words; a null
 host is a host of its own. Lines without a letter or digit are not counted and
@@ -18,7 +19,6 @@ from tickwatch.llm.common import SPACES, let, words_of
 from tickwatch.session import stage
 
 MIN_DOCS = 10
-SHARE = 0.01
 LEAST_KEPT = 0.5
 MIN_WORDS = 20
 WINDOW = 8
@@ -85,15 +85,16 @@ def measured(docs: DataFrame, host_col: str) -> DataFrame:
         repeated_words(words_of(F.col("text"))).alias("n_repeat_words"), first.alias("m"))
 
 
-def line_rules(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
+def line_rules(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, share: float | None = None,
                least_kept: float = LEAST_KEPT) -> DataFrame:
     """Counts and verdict of every row: doc_id, host, the counts, n_removed_lines, n_removed_words, base_failed, depleted, kept."""
     rows = stage(measured(docs, host_col), "measured")
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs_of_host"))
     counts = (rows.select("host", F.explode("m.kinds").alias("h")).groupBy("host", "h")
               .agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs))
-    frequent = stage(counts.join(hosts, "host").filter(F.col("docs") > share * F.col("docs_of_host"))
-                     .select("host", "h"), "host-lines")
+    if share is not None:
+        hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs_of_host"))
+        counts = counts.join(hosts, "host").filter(F.col("docs") > share * F.col("docs_of_host"))
+    frequent = stage(counts.select("host", "h"), "host-lines")
     lines = rows.select("row", "host", F.explode("m.lines").alias("line")).select("row", "host", "line.h", "line.w")
     # A line of a third of all documents fills one partition here; it is split at run time.
     removed = lines.join(frequent, ["host", "h"]).groupBy("row").agg(
