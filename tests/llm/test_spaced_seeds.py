@@ -41,6 +41,33 @@ def test_substitutions_and_clean_documents(spark, documents):
     assert out[6]["matched"] == 30
 
 
+def test_dense_part_of_a_sparse_run_and_items_without_id(spark, documents):
+    item = words(60, 7)
+
+    def copied(pattern, seed):
+        return " ".join(words(9, seed) + [w if bit == "1" else f"x{i}" for i, (w, bit) in enumerate(zip(item, pattern))])
+
+    found = ["1" * 20 + "0011" * 4, "1" * 13 + "0011" * 3, "0011" * 4 + "1" * 30 + "0011" * 6, "1" * 10 + "0101" + "1" * 10]
+    lost = ["0011" * 12, "1" * 12 + "0" * 8 + "1" * 12]
+    rows = [(i, copied(p.ljust(60, "0"), i)) for i, p in enumerate(found + lost)]
+    bench = spark.createDataFrame([(None, " ".join(item)), (None, " ".join(words(30, 8))), (4, " ".join(item))],
+                                  "item_id long, text string")
+    out = rows_of(spaced_seeds.contamination(documents(rows), bench))
+    assert sorted((r["doc_id"], str(r["item_id"])) for r in out) == [
+        (i, j) for i in range(len(found)) for j in ("4", "None")]
+
+    def best(bits):
+        ends = [(sum(b == "1" for b in bits[i:j]), j - i) for i in range(len(bits)) for j in range(i + 1, len(bits) + 1)
+                if bits[i] == bits[j - 1] == "1" and "000" not in bits[i:j]]
+        return max([e for e in ends if e[0] >= 13 and 10 * e[0] >= 8 * e[1]], default=None)
+
+    draw = random.Random(3)
+    bits = ["".join("1" if draw.random() < p else "0" for _ in range(60)) for p in (0.5, 0.7, 0.75, 0.8, 0.9) for _ in range(20)]
+    rows = spark.createDataFrame([(b,) for b in bits + found], "bits string").select(
+        "bits", spaced_seeds._stretch(spaced_seeds.F.col("bits"), spaced_seeds.F.lit(13), 0.8).alias("best")).collect()
+    assert all((r["best"] and tuple(r["best"])) == best(r["bits"]) for r in rows)
+
+
 def test_both_joins_give_the_same_rows(spark, documents):
     texts = [" ".join(words(40, s)) for s in range(4)]
     rows = [(i, f"start {t} end") for i, t in enumerate(texts * 3)]
