@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwatch.llm import golay, host_lines, line_runs, nb_svm, pitman_yor, secret_forest, spaced_seeds, suffix_dedup, surrogates, tree_bpe
-from tickwatch.llm.common import table
+from tickwatch.llm import (
+    golay, hard_negatives, host_lines, line_runs, nb_svm, periodic_runs, pitman_yor, secret_forest, sharding,
+    spaced_seeds, suffix_dedup, surrogates, tree_bpe)
+from tickwatch.llm.common import let, table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -87,3 +89,44 @@ def op9_suffix_dedup(spark, sf_dir):
 def op10_nb_svm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return nb_svm.score_quality(docs, nb_svm.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, anchor=F.col("id") % 100 == 0, label=label)
+
+
+def planted_text(docs: DataFrame):
+    """The text with a periodic tail where crc32 of the id is divisible by ten; as it is for a null id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def repeated(words):
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+        word = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(
+            words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(word, " ")).otherwise(docs["text"])
+
+    return F.when(h % 10 == 0, let(words_of(docs["text"]), repeated)).otherwise(docs["text"])
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = periodic_runs.periodic_runs(docs.select("doc_id", planted_text(docs).alias("text")))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return rows.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha256(F.array_join(lines, "")).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+@query
+def op13_feistel_shards(spark, sf_dir):
+    return sharding.document_places(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number")
