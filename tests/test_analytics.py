@@ -1,9 +1,11 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tickwatch.functions.columns import gauge_value, rate_alert, rate_band
 from tickwatch.operators import analytics, history
-from tickwatch.operators.inject import KINDS, inject_anomalies
+from tickwatch.operators.inject import FADE, KINDS, inject_anomalies
 from tickwatch.schema import FEATURES, PREDICTION
 from tickwatch.sources.exports import export_csv, read_csv
 
@@ -183,6 +185,30 @@ def test_injected_prices_move_in_the_right_direction(ticks):
     assert kept.exceptAll(one).count() == 0
 
 
+def test_injected_effects_fade(ticks):
+    flat = ticks.withColumn("price", F.lit(100.0))
+    out = inject_anomalies(flat, 0.2, 7, fade=0.5, rows_per_range=50).orderBy("symbol", "event_time", "event_id").collect()
+    level, symbol = 0.0, None
+    for r in out:
+        before = 0.5 * level if r["symbol"] == symbol else 0.0
+        symbol, level = r["symbol"], math.log(r["price"] / 100)
+        if r["anomaly_type"] not in ("PRICE_SPIKE", "FLASH_CRASH"):
+            assert level == pytest.approx(before, abs=2e-4)
+    with pytest.raises(ValueError):
+        inject_anomalies(flat, fade=0.0)
+
+
+def test_a_long_series_keeps_its_level(spark):
+    """Three million ticks of one symbol: lasting effects that never fade would end near 0."""
+    ticks = spark.range(3_000_000).select(
+        F.lit("hot").alias("symbol"), F.timestamp_seconds("id").alias("event_time"), F.col("id").alias("event_id"),
+        F.lit(100.0).alias("price"), F.lit(1.0).alias("volume"), F.lit(False).alias("is_anomaly"))
+    out = inject_anomalies(ticks, fade=FADE, rows_per_range=400_000)
+    row = out.agg(F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("n"),
+                  F.avg(F.when(F.col("event_id") > 2_900_000, F.col("price"))).alias("end")).first()
+    assert row["n"] == 3_000_000 and row["low"] > 20 and row["high"] < 500 and 70 < row["end"] < 130
+
+
 def test_rows_without_score_or_class_are_left_out(spark):
     from tickwatch.schema import FEATURES
 

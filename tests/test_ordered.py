@@ -26,6 +26,30 @@ def test_scan_equals_plain_window(ticks, rows_per_range):
     assert got.exceptAll(want).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_range", [13, 10**6])
+def test_recurrences_over_ranges(spark, rows_per_range):
+    rows = [(s, i, a, b) for s in ("p", None) for i, (a, b) in enumerate(
+        [(0.5, 1.0), (None, 3.0), (-2.0, 0.25), (0.0, 7.0), (1.0, None), (0.999, -1.0)] * 20)]
+    df = spark.createDataFrame(rows, "symbol string, i int, a double, b double")
+    got = scan_in_order(df, ["symbol"], ["i"], affine={"x": ("a", "b")}, position="n", rows_per_range=rows_per_range)
+    out = {(r["symbol"], r["i"]): r["x"] for r in got.collect()}
+    for symbol in ("p", None):
+        x = 0.0
+        for s, i, a, b in rows:
+            if s == symbol:
+                x = x if a is None or b is None else a * x + b
+                assert out[s, i] == pytest.approx(x)
+    assert got.columns == [*df.columns, "n", "x"] and got.count() == len(rows)
+
+
+def test_small_tables_take_the_same_plan(ticks):
+    """There is no other plan below a size: a handful of rows is cut into ranges as well."""
+    few = ticks.limit(9)
+    points = split_points(few, ORDER)
+    assert len(points) == 3
+    assert scan_in_order(few, [], ORDER, position="n").select("n").distinct().count() == 9
+
+
 def test_hot_symbol_is_split_evenly(spark):
     rows = spark.range(6000).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("symbol"),
@@ -93,6 +117,53 @@ def test_quantiles_with_heavy_ties_and_bad_values(spark):
         assert value == pytest.approx(low + (clean[math.ceil(rank)] - low) * (rank % 1))
 
 
+@pytest.mark.parametrize("rows_per_range", [40, None])
+def test_the_search_moves_counts_and_not_values(ticks, rows_per_range):
+    plan = quantiles(ticks, "price", [0.5, 0.99], ["symbol"], rows_per_range)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "InsertInto" not in plan and "percentile" not in plan
+    # What is shuffled is merged first: values of the wanted ranges, the running counts, the answers.
+    assert all("hashpartitioning" in line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line)
+    assert plan.count("partial_count") >= 1
+
+
+def test_quantiles_of_huge_and_tiny_values(spark):
+    values = [10.0 ** e for e in range(-300, 300, 3)] + [-10.0 ** e for e in range(-300, 300, 7)] + [0.0, -0.0, math.inf]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r["prob"]: r["quantile"] for r in quantiles(rows, "v", [0.0, 0.25, 0.5, 1.0], rows_per_range=3).collect()}
+    clean = sorted(values)
+    for p in (0.0, 0.25, 0.5, 1.0):
+        rank = p * (len(clean) - 1)
+        low, high = clean[math.floor(rank)], clean[math.ceil(rank)]
+        assert got[p] == pytest.approx(low + (high - low) * (rank % 1) if low != high else low)
+
+
+def test_quantiles_cut_a_crowded_range_again(spark, monkeypatch):
+    # Points from one sampled value: all but one range is crowded and has to be cut again.
+    from tickwatch.operators import quantiles as module
+
+    calls, cut = [], module.split_points
+    monkeypatch.setattr(module, "split_points", lambda df, keys, n: calls.append(keys) or ([(990.0,)] if len(calls) == 1 else cut(df, keys, n)))
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    got = {r["prob"]: r["quantile"] for r in quantiles(rows, "v", [0.1, 0.5, 0.999], rows_per_range=20).collect()}
+    assert got == {0.1: pytest.approx(99.9), 0.5: pytest.approx(499.5), 0.999: pytest.approx(998.001)}
+    assert len(calls) > 1 and calls[1][0] == "_range_0"
+
+
+def test_many_groups_are_joined_without_the_driver(ticks, monkeypatch):
+    from tickwatch.operators import quantiles as module
+
+    monkeypatch.setattr(module, "MAX_WANTED", 2)
+    got = quantiles(ticks, "price", [0.25, 0.5], ["symbol"], 50)
+    want = quantiles_bounded(ticks, "price", [0.25, 0.5], ["symbol"])
+    rounded = [df.select("symbol", "prob", F.round("quantile", 9)) for df in (got, want)]
+    assert rounded[0].exceptAll(rounded[1]).count() == 0 and got.count() == want.count()
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "s string, v double")
+    assert quantiles(empty, "v", [0.5]).count() == 0 and quantiles(empty, "v", [0.5], ["s"]).count() == 0
+
+
 def test_approximate_quantiles_are_close(ticks):
     exact = {r["prob"]: r["quantile"] for r in quantiles(ticks, "price", [0.5]).collect()}
     rough = {r["prob"]: r["quantile"] for r in quantiles_approx(ticks, "price", [0.5]).collect()}

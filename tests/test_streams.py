@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickwatch.operators.features import build_features
 from tickwatch.operators.returns import with_log_return
-from tickwatch.plans.catalog import small_forest
+from tickwatch.plans.catalog import arrive, small_forest
 from tickwatch.schema import EVENT, FEATURES
 from tickwatch.session import CHECKPOINT_CONF, scratch_path, shared_dir
 from tickwatch.sources.events import decode_events, text_message_stream
@@ -128,18 +128,63 @@ def test_trade_stream_keeps_bad_messages_apart(spark, tmp_path):
     assert sorted(r["reject_reason"] for r in spark.read.parquet(paths[1]).collect()) == ["malformed", "price"]
 
 
-def test_keyed_state_over_micro_batches_equals_batch(spark, ticks, tmp_path):
-    folder = tmp_path / "ticks"
-    tick_files(spark, ticks, folder)
-    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    (stateful_log_return(stream).writeStream.format("parquet").option("path", out)
-     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+@pytest.mark.parametrize("slice_seconds", [600, 6 * 3600, 10**9])
+def test_keyed_state_over_micro_batches_and_a_restart_equals_batch(spark, ticks, tmp_path, slice_seconds):
+    folder, out, checkpoint = (tmp_path / "ticks", str(tmp_path / "out"), str(tmp_path / "cp"))
+    ordered = ticks.withColumn("p", F.ntile(4).over(Window.orderBy("event_time", "event_id")))
+    batches = 0
+    for parts in ((1, 2), (3,), (4,)):
+        for p in parts:
+            ordered.where(F.col("p") == p).drop("p").coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        returns = stateful_log_return(stream, slice_seconds=slice_seconds)
+        query = (returns.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        batches += sum(p["numInputRows"] > 0 for p in query.recentProgress)
+        plan = query._jsq.explainInternal(False)
+        assert "FlatMapGroupsInPandasWithState" not in plan and "TransformWithStateInPySpark" in plan.replace("Pandas", "PySpark")
+    assert batches == 4
     got = spark.read.parquet(out).select("event_id", F.round("log_return", 9))
     want = with_log_return(ticks).select("event_id", F.round("log_return", 9))
     assert got.count() == ticks.count() and got.exceptAll(want).count() == 0
 
 
+def test_late_ticks_still_move_the_kept_price(spark, tmp_path):
+    """A tick behind the watermark, of a window that is still open, has a return and is kept."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "symbol string, event_time timestamp, event_id bigint, price double, volume double, is_anomaly boolean"
+
+    def push(*rows):
+        spark.createDataFrame([(s, t, i, p, 1.0, False) for s, t, i, p in rows], "symbol string, t long, event_id long, price double, volume double, is_anomaly boolean").select(
+            "symbol", F.timestamp_seconds("t").alias("event_time"), "event_id", "price", "volume", "is_anomaly"
+        ).coalesce(1).write.mode("append").parquet(folder)
+        ticks = spark.readStream.schema(schema).parquet(folder)
+        features = build_features(stateful_log_return(ticks), "10 minutes")
+        (features.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
+
+    push(("a", 10, 1, 100.0), ("a", 300, 2, 110.0), (None, 20, 3, 5.0))
+    push(("a", 50, 4, 121.0), (None, 21, 5, 10.0))
+    push(("a", 10_000, 6, 1.0))
+    rows = {(r["symbol"], r["window_start"].timestamp()): r for r in spark.read.parquet(out).collect()}
+    first = rows["a", 0.0]
+    # The mean of 100, 110 and the late 121, whose return follows 110.
+    assert first["rolling_price_std"] == pytest.approx(10.5, abs=0.02)
+    assert rows[None, 0.0]["rolling_price_std"] == pytest.approx(3.5355, abs=1e-3)
+
+
+def test_arrivals_come_in_order_of_time(spark, ticks, tmp_path):
+    seen = []
+    path = str(tmp_path / "in")
+    arrive(ticks, F.unix_seconds("event_time"), path, lambda: seen.append(
+        spark.read.parquet(path).agg(F.count("*"), F.max("event_time")).first()))
+    assert len(seen) == 3 and seen[-1][0] == ticks.count()
+    assert seen[0][1] < seen[1][1] < seen[2][1]
+    arrive(ticks.limit(0), F.unix_seconds("event_time"), str(tmp_path / "none"), lambda: seen.append(None))
+    assert len(seen) == 4
+
+
 def test_score_stream(spark, features, tmp_path):
     store, model, out, rejects, checkpoint = (str(tmp_path / n) for n in ("f", "m", "p", "r", "c"))
     bad = features.limit(3).withColumn("z_score_price", F.lit(500.0))

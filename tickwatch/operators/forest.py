@@ -15,7 +15,7 @@ from tickwatch.functions.columns import is_finite
 from tickwatch.operators.quantiles import quantiles
 from tickwatch.operators.scaler import moments, standardize
 from tickwatch.schema import FEATURES, LABEL, NODES
-from tickwatch.session import ship_package
+from tickwatch.session import ship_package, staged
 
 # Fixed values of the model.
 N_ESTIMATORS = 200
@@ -155,8 +155,12 @@ def fit_forest(
 
 
 def contamination_threshold(scored: DataFrame, contamination: float) -> float:
-    """The exact quantile of the training scores below which a row is an anomaly."""
-    return quantiles(scored.select("score_sample"), "score_sample", [contamination]).first()["quantile"]
+    """The exact quantile of the training scores below which a row is an anomaly.
+
+    The search reads the scores several times, so they are written out first: one column.
+    """
+    with staged(scored.select("score_sample"), "scores") as scores:
+        return quantiles(scores, "score_sample", [contamination]).first()["quantile"]
 
 
 def score_samples(features: DataFrame, model: ForestModel) -> DataFrame:

@@ -9,16 +9,23 @@ row per range. Only the first key of a range can have earlier rows, so that
 summary never has more rows than there are ranges and is safe to broadcast.
 
 `order` must be unique within `by`: that is what makes the answer well defined.
+
+There is one plan for every size: a small table has fewer and smaller ranges, at
+least one per core where it has the rows.
 """
 
+import decimal
 import json
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwatch.functions.columns import arrival_key
+from tickwatch.session import ship_package, stage
 
 RANGE = "_range"
 ROWS_PER_RANGE = 2_000_000
@@ -43,9 +50,15 @@ def _sortable(df: DataFrame, name: str) -> tuple[Column, str]:
         return F.coalesce(c.cast("double"), F.lit(float("-inf"))), "double"
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         return F.coalesce(c.cast("bigint"), F.lit(-(2**62))), "bigint"
+    if isinstance(kind, T.DecimalType) and kind.scale == 0:
+        return F.coalesce(c.cast("decimal(38,0)"), F.lit(f"-{'9' * 38}").cast("decimal(38,0)")), "decimal(38,0)"
     raise TypeError(f"cannot cut ranges on {name}: {kind.simpleString()}")
 
 
+def _plain(value):
+    return int(value) if isinstance(value, decimal.Decimal) else value
+
+
 def range_rows(df: DataFrame, rows_per_range: int | None = None) -> int:
     return rows_per_range or int(df.sparkSession.conf.get(ROWS_PER_RANGE_CONF, str(ROWS_PER_RANGE)))
 
@@ -59,8 +72,9 @@ def split_points(df: DataFrame, keys: list[str], rows_per_range: int | None = No
     gives the same points on every evaluation.
     """
     total = df.count()
-    wanted = min(MAX_RANGES, math.ceil(total / range_rows(df, rows_per_range)))
-    if wanted <= 1:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(MAX_RANGES, max(cores, math.ceil(total / range_rows(df, rows_per_range))))
+    if total <= 1 or wanted <= 1:
         return []
     share = min(1.0, wanted * SAMPLES_PER_RANGE / total)
     plain = [_sortable(df, key)[0].alias(f"k{i}") for i, key in enumerate(keys)]
@@ -71,8 +85,8 @@ def split_points(df: DataFrame, keys: list[str], rows_per_range: int | None = No
         .distinct()
     )
     ordered = sorted(tuple(row) for row in drawn.collect())
-    step = max(1, len(ordered) // wanted)
-    return ordered[step::step]
+    # The first of `wanted` even stretches needs no point of its own.
+    return [ordered[i * len(ordered) // wanted] for i in range(1, min(wanted, len(ordered)))]
 
 
 def with_range(df: DataFrame, keys: list[str], points: list[tuple]) -> DataFrame:
@@ -87,7 +101,7 @@ def with_range(df: DataFrame, keys: list[str], points: list[tuple]) -> DataFrame
     parts = [_sortable(df, key) for key in keys]
     values = [part[0] for part in parts]
     bounds = [
-        F.from_json(F.lit(json.dumps([point[i] for point in points])), f"array<{kind}>")
+        F.from_json(F.lit(json.dumps([_plain(point[i]) for point in points])), f"array<{kind}>")
         for i, (_, kind) in enumerate(parts)
     ]
 
@@ -124,15 +138,18 @@ def scan_in_order(
     lag: dict[str, str] | None = None,
     total: dict[str, str] | None = None,
     position: str | None = None,
+    affine: dict[str, tuple[str, str]] | None = None,
     rows_per_range: int | None = None,
 ) -> DataFrame:
-    """Lags, running totals and positions over `order` within `by`.
+    """Lags, running totals, positions and recurrences over `order` within `by`.
 
     lag:      {new column: column whose previous value it holds}
     total:    {new column: column summed from the first row up to this one}
     position: name of the 0-based row number
+    affine:   {new column: (a, b)}, the recurrence x = a * x_before + b from x_before = 0;
+              a row with a null in a or b leaves x as it was
     """
-    lag, total = lag or {}, total or {}
+    lag, total, affine = lag or {}, total or {}, affine or {}
     df = df.select(*[F.col(c) for c in df.columns])
     keys = by + order
     points = split_points(df.select(*keys), keys, rows_per_range)
@@ -144,17 +161,20 @@ def scan_in_order(
     number = F.row_number().over(inner).cast("bigint") - 1
     if position:
         made[position] = number
-    if not points:
-        return ranged.withColumns(made).drop(RANGE)
-
-    if lag:
-        made["_first"] = number == 0
+    if lag or affine:
+        made["_number"] = number
     done = ranged.withColumns(made)
+    for new, (a, b) in affine.items():
+        done = _compose(done, new, a, b)
+    if affine:
+        # Both the rows and the summary of the ranges are read from it.
+        done = stage(done, "composed")
     # One partial aggregation gives each range's contribution ...
-    summary = ranged.groupBy(*by, RANGE).agg(
+    summary = (done if affine else ranged).groupBy(*by, RANGE).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.max_by(old, _order_key(df, order)).alias(f"_l_{new}") for new, old in lag.items()],
         *[F.sum(old).alias(f"_t_{new}") for new, old in total.items()],
+        *[F.max_by(f"{half}{new}", "_number").alias(f"{half}{new}") for new in affine for half in ("_a_", "_b_")],
     )
     # ... and a window over those few rows turns it into what precedes a range.
     ranges = Window.partitionBy(*by).orderBy(RANGE)
@@ -164,6 +184,8 @@ def scan_in_order(
         F.sum("_n").over(before).alias("_c_n"),
         *[F.lag(f"_l_{new}").over(ranges).alias(f"_c_{new}") for new in lag],
         *[F.sum(f"_t_{new}").over(before).alias(f"_c_{new}") for new in total],
+        *[_fold(F.collect_list(F.struct(F.col(f"_a_{new}").alias("a"), F.col(f"_b_{new}").alias("b"))).over(before))
+          .alias(f"_c_{new}") for new in affine],
     ).where(F.col("_c_n").isNotNull())
     carry = carry.select(*[F.col(c).alias(f"_by_{c}") for c in by],
                          F.col(RANGE).alias("_carry_range"),
@@ -172,18 +194,58 @@ def scan_in_order(
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     joined = done.join(F.broadcast(carry), match, "left")
-    final = {new: F.when(F.col("_first"), F.col(f"_c_{new}")).otherwise(F.col(new)) for new in lag}
+    final = {new: F.when(F.col("_number") == 0, F.col(f"_c_{new}")).otherwise(F.col(new)) for new in lag}
     final.update({
         new: F.when(F.col(f"_c_{new}").isNull(), F.col(new))
         .otherwise(F.coalesce(F.col(new), F.lit(0)) + F.col(f"_c_{new}"))
         for new in total
     })
+    final.update({
+        new: F.col(f"_a_{new}") * F.coalesce(F.col(f"_c_{new}"), F.lit(0.0)) + F.col(f"_b_{new}") for new in affine})
     if position:
         final[position] = F.col(position) + F.coalesce(F.col("_c_n"), F.lit(0))
-    keep = df.columns + [*lag, *total] + ([position] if position else [])
+    keep = df.columns + [*lag, *total] + ([position] if position else []) + [*affine]
     return joined.withColumns(final).select(*keep)
 
 
+def _fold(maps: Column) -> Column:
+    """The value of the maps x -> a * x + b, applied one after another from 0."""
+    return F.aggregate(maps, F.lit(0.0), lambda x, m: m["a"] * x + m["b"])
+
+
+def _compose(rows: DataFrame, new: str, a: str, b: str) -> DataFrame:
+    """Add _a_new and _b_new: the maps x -> a * x + b of a range composed up to each row.
+
+    The rows come straight from the window over ranges, in its order; a running
+    product of maps has no built-in window function, and a quotient of running
+    products would leave the range of doubles after some thousand rows.
+    """
+    ship_package(rows.sparkSession)
+    schema = T.StructType([*rows.schema.fields, T.StructField(f"_a_{new}", T.DoubleType()),
+                           T.StructField(f"_b_{new}", T.DoubleType())])
+    names = rows.columns
+    at, one, two = names.index("_number"), names.index(a), names.index(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, shift, last = 1.0, 0.0, -1
+        for batch in batches:
+            slopes, shifts = [], []
+            for number, x, y in zip(*(batch.column(i).to_pylist() for i in (at, one, two))):
+                if number == 0:
+                    slope, shift = 1.0, 0.0
+                elif number != last + 1:
+                    raise ValueError("rows of a range are out of order")
+                last = number
+                if x is not None and y is not None:
+                    slope, shift = x * slope, x * shift + y
+                slopes.append(slope)
+                shifts.append(shift)
+            more = [pa.array(slopes, pa.float64()), pa.array(shifts, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def trailing_mean(
     df: DataFrame,
     value: str,

@@ -11,7 +11,7 @@ from tickwatch.functions.columns import gauge_value, rate_alert, rate_band, to_s
 from tickwatch.operators import analytics, history, metrics, quality
 from tickwatch.operators.features import build_features
 from tickwatch.operators.forest import ForestModel, score
-from tickwatch.operators.inject import inject_anomalies
+from tickwatch.operators.inject import FADE, inject_anomalies
 from tickwatch.operators.quantiles import quantiles
 from tickwatch.operators.scaler import fit_scaler, moments, standardize
 from tickwatch.operators.split import stratified_rule
@@ -21,7 +21,7 @@ from tickwatch.schema import FEATURES, LABEL, NODES, PREDICTION
 from tickwatch.session import scratch_path, stage
 from tickwatch.sources.events import decode_events, encode_events, text_message_stream
 from tickwatch.sources.exports import export_csv, read_csv
-from tickwatch.sources.feature_store import read_features, write_features
+from tickwatch.sources.feature_store import feature_sink, read_features, write_features
 from tickwatch.sources.model_store import load_model, model_info, save_model
 from tickwatch.streaming.feature_stream import start_feature_stream
 from tickwatch.streaming.return_stream import start_return_stream, stateful_log_return
@@ -30,9 +30,8 @@ from tickwatch.streaming.trade_stream import start_trade_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# One micro-batch takes all files of a finished table: its files are not in time
-# order, and a later batch would find its windows closed.
-ALL_FILES = 1_000_000_000
+# A table arrives at a stream in so many parts of time; the query is started anew for each.
+ARRIVALS = 3
 RULE_CUT = -1.5
 
 
@@ -117,8 +116,8 @@ def decode_messages(spark, sf_dir):
     return flat(decode_events(event_messages(spark, sf_dir), keep=("event_id",)))
 
 
-def trade_messages(spark, sf_dir) -> DataFrame:
-    """`events` as raw exchange trades with several kinds of bad messages."""
+def trade_messages(spark, sf_dir, *keep: str) -> DataFrame:
+    """`events` as raw exchange trades with several kinds of bad messages; `keep` names further columns."""
     name = (F.when(F.col("event_type") == "click", "BTCUSDT").when(F.col("event_type") == "error", "ethusdt")
             .when(F.col("event_type") == "view", "BnbUsdt").otherwise(F.upper("event_type")))
     i = F.col("event_id")
@@ -132,7 +131,7 @@ def trade_messages(spark, sf_dir) -> DataFrame:
         .otherwise(millis).alias("T"))
     text = F.to_json(F.struct(trade.alias("data")))
     text = F.when(i % 40 == 13, F.concat(F.lit("not json "), text)).when(i % 40 == 17, F.lit('{"id": 1}')).otherwise(text)
-    return domain.read(spark, sf_dir, "events").select("event_id", text.alias("value"))
+    return domain.read(spark, sf_dir, "events").select("event_id", text.alias("value"), *keep)
 
 
 @query
@@ -422,7 +421,7 @@ def detected_share(spark, sf_dir):
 
 @query
 def contamination_threshold(spark, sf_dir):
-    return flat(quantiles(rule_predictions(spark, sf_dir), "anomaly_score", [0.01]))
+    return flat(quantiles(stored_predictions(spark, sf_dir), "anomaly_score", [0.01]))
 
 
 # --- injection and the fitted forest ----------------------------------------
@@ -430,7 +429,12 @@ def contamination_threshold(spark, sf_dir):
 
 @query
 def inject_anomalies_persistent(spark, sf_dir):
-    return _injected(spark, sf_dir, persist=True)
+    return _injected(spark, sf_dir)
+
+
+@query
+def inject_anomalies_fading(spark, sf_dir):
+    return _injected(spark, sf_dir, fade=FADE)
 
 
 @query
@@ -438,8 +442,8 @@ def inject_anomalies_transient(spark, sf_dir):
     return _injected(spark, sf_dir, persist=False)
 
 
-def _injected(spark, sf_dir, persist):
-    marked = inject_anomalies(domain.market_ticks(spark, sf_dir), persist=persist)
+def _injected(spark, sf_dir, **how):
+    marked = inject_anomalies(domain.market_ticks(spark, sf_dir), **how)
     return marked.select("event_id", "price", "volume", "log_return", "is_anomaly", "anomaly_type")
 
 
@@ -461,7 +465,7 @@ def evaluate_model(spark, sf_dir):
 @query
 def evaluate_injected(spark, sf_dir):
     """Inject, build features, train and report on the held-out part."""
-    events = inject_anomalies(domain.market_ticks(spark, sf_dir))
+    events = inject_anomalies(domain.market_ticks(spark, sf_dir), fade=FADE)
     return flat(training.evaluate(training.train(build_features(events, "1 hour")))["report"])
 
 
@@ -493,40 +497,64 @@ def store_roundtrip(spark, sf_dir):
     return flat(read_features(spark, path))
 
 
-def _messages_table(spark, sf_dir) -> str:
-    """The events as JSON text files, the file form of a topic."""
-    path = scratch_path(spark, "messages")
+def arrive(df: DataFrame, seconds, path: str, run: Callable[[], object], arrivals: int = ARRIVALS,
+           write=lambda part, path: part.write.mode("append").parquet(path)) -> None:
+    """Let `df` arrive at the folder `path` in even parts of time, oldest first, and call `run` after each.
+
+    A stream that `run` starts takes all that has arrived since its last stop, so
+    every part is a micro-batch of its own and every call but the first a restart.
+    """
+    edges = df.agg(F.min(seconds).alias("first"), F.max(seconds).alias("last")).first()
+    if edges["first"] is None:
+        write(df, path)
+        run()
+        return
+    span = edges["last"] - edges["first"] + 1
+    part = F.floor((seconds - F.lit(edges["first"])) * arrivals / F.lit(span))
+    for i in range(arrivals):
+        write(df.where(F.coalesce(part, F.lit(0)) == i), path)
+        run()
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """The events, and copies of some whose time is in another unit: a stream must pass over those."""
     events = domain.market_events(spark, sf_dir).withColumn("timestamp", F.unix_seconds("event_time"))
-    # Copies whose time is in another unit: a stream must pass over them.
     wrong = events.where("event_id % 97 = 5").withColumn("timestamp", F.col("timestamp") * F.element_at(
         F.array(*[F.lit(k) for k in (1000, 1_000_000, 1_000_000_000, -1)]), (F.col("event_id") % 4 + 1).cast("int")))
-    encode_events(events.unionByName(wrong).drop("event_time")).write.text(path)
-    return path
+    return events.unionByName(wrong)
+
+
+def _write_messages(events: DataFrame, path: str) -> None:
+    """Events as JSON text files, the file form of a topic."""
+    encode_events(events.drop("event_time")).write.mode("append").text(path)
 
 
 @query
 def stream_window_features(spark, sf_dir):
     """Messages -> decode -> watermark -> windows -> feature store, as a stream."""
-    path, checkpoint = scratch_path(spark, "features"), scratch_path(spark, "checkpoint")
-    messages = text_message_stream(spark, _messages_table(spark, sf_dir), ALL_FILES)
-    start_feature_stream(messages, path, checkpoint, domain.WINDOW, extra="event_id bigint",
-                         available_now=True).awaitTermination()
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("messages", "features", "checkpoint"))
+
+    def run():
+        start_feature_stream(text_message_stream(spark, source), path, checkpoint, domain.WINDOW,
+                             extra="event_id bigint", available_now=True).awaitTermination()
+
+    arrive(stage(_messages(spark, sf_dir), "events"), F.unix_seconds("event_time"), source, run, write=_write_messages)
     return flat(read_features(spark, path))
 
 
-def _tick_stream(spark, sf_dir) -> DataFrame:
-    path = scratch_path(spark, "ticks")
+def _arriving_ticks(spark, sf_dir, source: str, run: Callable[[DataFrame], object]) -> None:
+    """`run` starts a stream over the ticks once per arrival and waits for it."""
     ticks = domain.market_ticks(spark, sf_dir)
-    ticks.write.parquet(path)
-    return spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", ALL_FILES).parquet(path)
+    arrive(ticks, F.unix_seconds("event_time"), source,
+           lambda: run(spark.readStream.schema(ticks.schema).parquet(source)))
 
 
 @query
 def stream_log_return(spark, sf_dir):
     """Log returns micro-batch by micro-batch with a state table."""
-    out, state, checkpoint = (scratch_path(spark, n) for n in ("returns", "state", "checkpoint"))
-    start_return_stream(_tick_stream(spark, sf_dir), out, state, checkpoint,
-                        available_now=True).awaitTermination()
+    source, out, state, checkpoint = (scratch_path(spark, n) for n in ("ticks", "returns", "state", "checkpoint"))
+    _arriving_ticks(spark, sf_dir, source, lambda ticks: start_return_stream(
+        ticks, out, state, checkpoint, available_now=True).awaitTermination())
     return flat(spark.read.parquet(out).select("event_id", "symbol", "log_return"))
 
 
@@ -535,21 +563,27 @@ def stream_normalized_trades(spark, sf_dir):
     """Raw trade messages -> parse -> returns -> events, as a stream."""
     names = ("messages", "events", "quarantine", "state", "checkpoint")
     source, out, rejected, state, checkpoint = (scratch_path(spark, n) for n in names)
-    messages = trade_messages(spark, sf_dir)
-    messages.write.parquet(source)
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", ALL_FILES).parquet(source)
-    start_trade_stream(stream, out, rejected, state, checkpoint, available_now=True).awaitTermination()
+    messages = trade_messages(spark, sf_dir, "ts")
+
+    def run():
+        stream = spark.readStream.schema(messages.drop("ts").schema).parquet(source)
+        start_trade_stream(stream, out, rejected, state, checkpoint, available_now=True).awaitTermination()
+
+    arrive(messages, F.unix_seconds(F.col("ts").cast("timestamp")), source, run,
+           write=lambda part, path: part.drop("ts").write.mode("append").parquet(path))
     return flat(spark.read.parquet(out).drop("batch_id"))
 
 
 @query
 def stream_state_features(spark, sf_dir):
     """Keyed state feeding windows in one streaming query."""
-    path, checkpoint = scratch_path(spark, "features"), scratch_path(spark, "checkpoint")
-    events = stateful_log_return(_tick_stream(spark, sf_dir).withWatermark("event_time", "1 minute"))
-    features = build_features(events, domain.WINDOW)
-    (features.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-     .partitionBy("symbol").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("ticks", "features", "checkpoint"))
+
+    def run(ticks):
+        features = build_features(stateful_log_return(ticks, slice_seconds=domain.WINDOW_SECONDS), domain.WINDOW)
+        feature_sink(features, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    _arriving_ticks(spark, sf_dir, source, run)
     return flat(read_features(spark, path))
 
 
@@ -558,11 +592,13 @@ def stream_score(spark, sf_dir):
     """Stored features -> stream -> scores with the latest model -> predictions."""
     names = ("features", "model", "predictions", "rejects", "checkpoint")
     store, model, out, rejects, checkpoint = (scratch_path(spark, n) for n in names)
-    features = domain.market_features(spark, sf_dir)
-    features.write.parquet(store)
-    stored = spark.read.parquet(store)
-    save_model(spark, small_forest(stored), model)
-    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", ALL_FILES).parquet(store)
-    start_score_stream(stream, model, out, rejects, checkpoint, available_now=True).awaitTermination()
+    features = stage(domain.market_features(spark, sf_dir), "features")
+    save_model(spark, small_forest(features), model)
+
+    def run():
+        stream = spark.readStream.schema(features.schema).parquet(store)
+        start_score_stream(stream, model, out, rejects, checkpoint, available_now=True).awaitTermination()
+
+    arrive(features, F.unix_seconds("window_start"), store, run)
     return flat(spark.read.parquet(out).drop("batch_id", "model_version").withColumn(
         "seq", F.col("seq").cast("bigint")))

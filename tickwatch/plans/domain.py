@@ -7,6 +7,7 @@ from tickwatch.operators.features import build_features
 from tickwatch.operators.returns import with_log_return
 
 WINDOW = "6 hours"
+WINDOW_SECONDS = 6 * 3600
 LABEL_ABOVE = 230
 
 

@@ -136,23 +136,33 @@ def _long(source: str, extra: str = "") -> str:
         f"SELECT {extra} '{c}' AS feature, {c} AS value FROM {source}" for c in FEATURES)
 
 
-def _inject(persist: bool) -> str:
+def _inject(how: str) -> str:
     def u(k: int) -> str:
         return f"('0x' || substr(md5(event_id || ':42:{k}'), 1, 8))::BIGINT / 4294967296.0"
 
     order = "OVER (PARTITION BY symbol ORDER BY ts, event_id)"
-    if persist:
+    if how == "persistent":
         level = f"""
 moved AS (
   SELECT event_id, ts, symbol, volume, anomaly_type, price AS raw, lag(price) {order} AS raw_previous,
          f, exp(sum(ln(f)) {order}) AS level FROM marked),
 final AS (
   SELECT *, raw * level AS price, raw_previous * level / f AS previous FROM moved)"""
+    elif how == "fading":
+        level = f"""
+placed AS MATERIALIZED (SELECT *, lag(price) {order} AS raw_previous, row_number() {order} AS i FROM marked),
+run AS (
+  SELECT symbol, i, 0.0::DOUBLE AS before, ln(f) AS level FROM placed WHERE i = 1
+  UNION ALL
+  SELECT p.symbol, p.i, r.level, r.level * 0.999::DOUBLE + ln(p.f) FROM run r JOIN placed p ON p.symbol = r.symbol AND p.i = r.i + 1),
+final AS (
+  SELECT event_id, volume, anomaly_type, price * exp(level) AS price, raw_previous * exp(before) AS previous
+  FROM placed JOIN run USING (symbol, i))"""
     else:
         level = f"""
 moved AS (SELECT event_id, ts, symbol, volume, anomaly_type, price * f AS price FROM marked),
 final AS (SELECT *, lag(price) {order} AS previous FROM moved)"""
-    return f"""WITH {_EVENT_TICKS},
+    return f"""WITH RECURSIVE {_EVENT_TICKS},
 drawn AS (
   SELECT *, {u(1)} < 0.01 AS hit, {u(3)} AS u3,
          ['PRICE_SPIKE', 'VOLUME_SPIKE', 'FLASH_CRASH'][1 + CAST(floor({u(2)} * 3) AS INTEGER)] AS kind
@@ -241,6 +251,11 @@ msg AS (
               WHEN event_id % 40 IN (19, 23, 29) THEN 'time' END AS reason
   FROM events)"""
 
+# The arrivals of a stream, three even parts of time, are its micro-batches.
+_ARRIVAL = ("(SELECT epoch(min(window_start))::BIGINT AS lo, epoch(max(window_start))::BIGINT AS hi FROM feat)")
+_BATCH = "floor((epoch(window_start)::BIGINT - lo) * 3 / (hi - lo + 1))::BIGINT"
+_BATCH_SEQ = (f"({_BATCH} * 68719476736 + row_number() OVER (PARTITION BY {_BATCH} ORDER BY window_start, symbol) - 1)"
+              "::BIGINT")
 _SQL_STREAM_FEATURES = f"{_F6} SELECT {_FEATURE_ROW} FROM feat WHERE {_CLOSED}"
 _SQL_LOG_RETURN = f"SELECT event_id, symbol, {r('log_return')} AS log_return FROM tick"
 
@@ -306,9 +321,9 @@ SELECT feature, CAST(list_position({FEATURES!r}, feature) - 1 AS INTEGER) AS pos
     sql["score_small_forest"] = f"{_small_forest()} SELECT {_SMALL_ROW} FROM scored"
     sql["model_roundtrip"] = sql["score_small_forest"]
     sql["stream_score"] = f"""{_small_forest()}
-SELECT CAST(row_number() OVER (ORDER BY window_start, symbol) - 1 AS BIGINT) AS seq, symbol, {_rounded(FEATURES)},
+SELECT {_BATCH_SEQ} AS seq, symbol, {_rounded(FEATURES)},
        {r('anomaly_score')} AS anomaly_score, anomaly_score < 0 AS is_anomaly
-FROM scored JOIN feat USING (symbol, window_start)"""
+FROM scored JOIN feat USING (symbol, window_start), {_ARRIVAL}"""
     sql["prediction_totals"] = f"{_PRED} SELECT {_TOTALS.format(n='total_predictions', a='total_anomalies')} FROM pred"
     sql["per_symbol_stats"] = f"{_PRED} SELECT symbol, {_TOTALS.format(n='count', a='anomalies')} FROM pred GROUP BY symbol"
     sql["per_symbol_long"] = f"""{_PRED}
@@ -379,6 +394,6 @@ SELECT count(*) AS n_rows, count(*) FILTER (is_anomaly) AS n_detected,
        {r('count(*) FILTER (is_anomaly) * 100.0 / count(*)')} AS detected_pct FROM pred"""
     sql["contamination_threshold"] = f"""{_PRED}
 SELECT 0.01::DOUBLE AS prob, {r('quantile_cont(anomaly_score, 0.01)')} AS quantile FROM pred"""
-    sql["inject_anomalies_persistent"] = _inject(True)
-    sql["inject_anomalies_transient"] = _inject(False)
+    for how in ("persistent", "fading", "transient"):
+        sql[f"inject_anomalies_{how}"] = _inject(how)
     return sql
