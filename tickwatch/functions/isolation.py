@@ -26,12 +26,12 @@ def height_limit(psi: int) -> int:
     return max(1, math.ceil(math.log2(max(psi, 2))))
 
 
-def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
+def grow_tree(rows: np.ndarray, rng: np.random.Generator, limit: int | None = None) -> list[tuple]:
     """Random splits until a node is single, constant or at the height limit.
 
     Returns (node_id, feature, threshold, left, right, depth, n_samples).
     """
-    limit = height_limit(len(rows))
+    limit = height_limit(len(rows)) if limit is None else limit
     nodes: list[list] = []
     todo = [(np.arange(len(rows)), 0, None, None)]
     while todo:
@@ -99,7 +99,12 @@ def pack_forest(nodes) -> dict:
 
 
 def mean_path(forest: dict, columns: list[np.ndarray]) -> np.ndarray:
-    """Mean path length of each row of a batch over all trees; all buffers are reused."""
+    """Mean path length of each row of a batch over all trees."""
+    return total_path(forest, columns) / len(forest["trees"])
+
+
+def total_path(forest: dict, columns: list[np.ndarray]) -> np.ndarray:
+    """Sum of the path lengths of each row of a batch over all trees; all buffers are reused."""
     n = len(columns[0])
     flat = np.concatenate(columns)
     rows = np.arange(n, dtype=np.intp)
@@ -119,4 +124,4 @@ def mean_path(forest: dict, columns: list[np.ndarray]) -> np.ndarray:
             np.add(down, right, out=node)
         np.take(tree["path"], node, out=value, mode="clip")
         total += value
-    return total / len(forest["trees"])
+    return total

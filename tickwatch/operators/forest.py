@@ -3,34 +3,40 @@
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwatch.functions import isolation
 from tickwatch.functions.columns import is_finite
-from tickwatch.operators.quantiles import quantiles
+from tickwatch.operators import tree_levels
+from tickwatch.operators.quantiles import quantiles, values_at
 from tickwatch.operators.scaler import moments, standardize
 from tickwatch.schema import FEATURES, LABEL, NODES
-from tickwatch.session import ship_package, staged
+from tickwatch.session import ship_package, stage, staged
 
 # Fixed values of the model.
 N_ESTIMATORS = 200
 CONTAMINATION = 0.01
 SEED = 42
 AUTO_SAMPLES = 256
-# One tree is built in one task and all trees are broadcast.
-MAX_SAMPLES = 65_536
+# More nodes than this stay a table, and scoring broadcasts as many of them at a time (about 64 MB).
+# A tree is broadcast whole, which bounds its subsample; the number of trees and rows is free.
+NODES_AT_ONCE = 2_000_000
+MAX_SAMPLES = NODES_AT_ONCE // 2
 
 
 @dataclass
 class ForestModel:
-    """Scaler and trees together. Size is bounded: at most n_estimators * (2 psi - 1) nodes."""
+    """Scaler and trees together: at most n_estimators * (2 psi - 1) nodes.
 
-    nodes: pd.DataFrame
+    `nodes` is a frame on the driver, or a stored table where there are more than `NODES_AT_ONCE`.
+    """
+
+    nodes: pd.DataFrame | DataFrame
     means: list[float]
     scales: list[float]
     psi: int
@@ -40,19 +46,34 @@ class ForestModel:
     n_train: int
     max_samples: str = "auto"
     version: str = ""
+    n_estimators: int = field(init=False)
 
     def __post_init__(self):
+        if isinstance(self.nodes, DataFrame):
+            facts = self.nodes.agg(
+                F.countDistinct("tree_id"), F.count(F.lit(1)),
+                F.hex(F.bit_xor(F.xxhash64("tree_id", "node_id", "feature", "threshold", "n_samples")))).first()
+            self.n_estimators, n_nodes, content = facts
+        else:
+            self.n_estimators, n_nodes = int(self.nodes["tree_id"].nunique()), len(self.nodes)
+            content = self.nodes[NODES.names].to_csv(index=False) if not self.version else ""
         limit = self.n_estimators * max(1, 2 * self.psi - 1)
-        if len(self.nodes) > limit:
-            raise ValueError(f"{len(self.nodes)} nodes, at most {limit} expected")
+        if n_nodes > limit:
+            raise ValueError(f"{n_nodes} nodes, at most {limit} expected")
         if not self.version:
-            digest = hashlib.sha1(self.nodes[NODES.names].to_csv(index=False).encode())
+            digest = hashlib.sha1(content.encode())
             digest.update(repr((self.means, self.scales, self.offset)).encode())
             self.version = digest.hexdigest()[:12]
 
-    @property
-    def n_estimators(self) -> int:
-        return int(self.nodes["tree_id"].nunique())
+    def parts(self) -> Iterator[pd.DataFrame]:
+        """The nodes of whole trees, about `NODES_AT_ONCE` at a time."""
+        if not isinstance(self.nodes, DataFrame):
+            yield self.nodes
+            return
+        each = max(1, NODES_AT_ONCE // max(1, 2 * self.psi - 1))
+        trees = sorted(r["tree_id"] for r in self.nodes.select("tree_id").distinct().collect())
+        for first in range(0, len(trees), each):
+            yield self.nodes.where(F.col("tree_id").isin(trees[first:first + each])).toPandas()
 
     def scaler_rows(self) -> list[tuple]:
         return [(c, i, self.means[i], self.scales[i]) for i, c in enumerate(FEATURES)]
@@ -104,34 +125,62 @@ def _tree_builder(key: list[str], size: int, seed: int):
 
 
 def sample_size(n_rows: int, max_samples="auto") -> int:
+    """Rows per tree: 256 (auto), a number, or a share of all rows (a float up to 1.0)."""
     if max_samples == "auto":
         return min(AUTO_SAMPLES, n_rows)
-    if not 1 <= max_samples <= MAX_SAMPLES:
-        raise ValueError(f"max_samples must be within 1..{MAX_SAMPLES}")
-    return min(int(max_samples), n_rows)
+    if isinstance(max_samples, float):
+        if not 0 < max_samples <= 1:
+            raise ValueError("max_samples as a share must be above 0 and at most 1")
+        wanted = max(1, int(max_samples * n_rows))
+    else:
+        wanted = min(int(max_samples), n_rows)
+    if not 1 <= wanted <= MAX_SAMPLES:
+        raise ValueError(f"max_samples must be within 1..{MAX_SAMPLES} rows")
+    return wanted
 
 
 def fit_trees(
     scaled: DataFrame, key: list[str], n_rows: int, n_trees: int, size: int, seed: int
-) -> pd.DataFrame:
-    """All tree nodes; one group of about `size` rows per tree."""
+) -> pd.DataFrame | DataFrame:
+    """All tree nodes. Small subsamples are one group and one task per tree, larger ones grow level by level."""
     ship_package(scaled.sparkSession)
     slack = 6.0
     while True:
         drawn = draw_subsamples(scaled.select(*key, *FEATURES), key, n_rows, n_trees, size, seed, slack)
-        # Few bytes but much work per tree: adaptive execution would put all trees
-        # into one task, so the number of tasks is set here.
-        tasks = min(n_trees, 4 * scaled.sparkSession.sparkContext.defaultParallelism)
-        drawn = drawn.repartition(tasks, "tree_id")
-        nodes = drawn.groupBy("tree_id").applyInPandas(_tree_builder(key, size, seed), NODES).toPandas()
-        roots = nodes[nodes["node_id"] == 0]
-        if len(roots) == n_trees and (roots["n_samples"] == size).all():
+        nodes = (_small_trees(drawn, key, n_trees, size, seed) if size <= tree_levels.SUBTREE_ROWS
+                 else _large_trees(drawn, n_rows, n_trees, size, seed))
+        if nodes is not None:
             return nodes
         if slack > 1_000:
             raise ValueError(f"the row key {key} is not unique: subsamples stay incomplete")
         slack *= 4
 
 
+def _small_trees(drawn: DataFrame, key: list[str], n_trees: int, size: int, seed: int) -> pd.DataFrame | None:
+    # Few bytes but much work per tree: adaptive execution would put all trees
+    # into one task, so the number of tasks is set here.
+    tasks = min(n_trees, 4 * drawn.sparkSession.sparkContext.defaultParallelism)
+    nodes = drawn.repartition(tasks, "tree_id").groupBy("tree_id").applyInPandas(
+        _tree_builder(key, size, seed), NODES).toPandas()
+    roots = nodes[nodes["node_id"] == 0]
+    return nodes if len(roots) == n_trees and (roots["n_samples"] == size).all() else None
+
+
+def _large_trees(drawn: DataFrame, n_rows: int, n_trees: int, size: int, seed: int) -> pd.DataFrame | DataFrame | None:
+    """Nodes of large trees; None if a tree drew fewer rows than wanted. No tree is in one task at any time."""
+    place = F.shiftrightunsigned("_draw", 11).cast("double")
+    rows = stage(drawn.select("tree_id", place.alias("_place"), *FEATURES), "drawn")
+    if size < n_rows:
+        # The rows with the smallest draws, found by counts.
+        cuts = {r["tree_id"]: r["value"] for r in values_at(rows, "_place", [size - 1], ["tree_id"]).collect()}
+        if len(cuts) < n_trees:
+            return None
+        last = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+        rows = rows.where(F.col("_place") <= last[F.col("tree_id")])
+    nodes = stage(tree_levels.numbered(tree_levels.grow(rows, size, seed)), "nodes")
+    return nodes.toPandas() if nodes.count() <= NODES_AT_ONCE else nodes
+
+
 def fit_forest(
     train: DataFrame,
     key: list[str],
@@ -164,26 +213,44 @@ def contamination_threshold(scored: DataFrame, contamination: float) -> float:
 
 
 def score_samples(features: DataFrame, model: ForestModel) -> DataFrame:
-    """Add score_sample = -2^(-mean path / c(psi)); null where a feature is missing or not finite."""
-    ship_package(features.sparkSession)
-    forest = isolation.pack_forest(model.nodes)
-    shared = features.sparkSession.sparkContext.broadcast(forest)
-    norm = float(isolation.path_norm(model.psi)) or 1.0
-
-    @F.pandas_udf("double")
-    def path(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees = shared.value
-        for columns in batches:
-            yield pd.Series(isolation.mean_path(trees, [c.to_numpy(dtype=float) for c in columns]))
+    """Add score_sample = -2^(-mean path / c(psi)); null where a feature is missing or not finite.
 
+    Trees are broadcast `NODES_AT_ONCE` nodes at a time; between two parts of a large
+    forest the rows are written with the path lengths so far.
+    """
+    spark = features.sparkSession
+    ship_package(spark)
+    norm = float(isolation.path_norm(model.psi)) or 1.0
     complete = F.lit(True)
     for c in FEATURES:
         complete = complete & is_finite(c)
     scaled = [
         (F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(FEATURES, model.means, model.scales)
     ]
-    score = -F.pow(F.lit(2.0), -path(*scaled) / F.lit(norm))
-    return features.withColumn("score_sample", F.when(complete, score))
+    rows, before = features, F.lit(0.0)
+    parts = model.parts()
+    part = next(parts)
+    while part is not None:
+        path = _path_column(spark, part)
+        part = next(parts, None)
+        if part is not None:
+            rows = stage(rows.withColumn("_path", before + path(*scaled)), "paths")
+            before = F.col("_path")
+    score = -F.pow(F.lit(2.0), -(before + path(*scaled)) / F.lit(model.n_estimators * norm))
+    return rows.withColumn("score_sample", F.when(complete, score)).drop("_path")
+
+
+def _path_column(spark: SparkSession, nodes: pd.DataFrame):
+    """The sum of path lengths over the given trees, as a function of scaled feature columns."""
+    shared = spark.sparkContext.broadcast(isolation.pack_forest(nodes))
+
+    @F.pandas_udf("double")
+    def path(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        trees = shared.value
+        for columns in batches:
+            yield pd.Series(isolation.total_path(trees, [c.to_numpy(dtype=float) for c in columns]))
+
+    return path
 
 
 def score(features: DataFrame, model: ForestModel | None) -> DataFrame:

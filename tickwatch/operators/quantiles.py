@@ -30,12 +30,25 @@ def quantiles(
     Reads `df` once per step (three in general), so one that is expensive to
     compute should be a stored table.
     """
-    by = by or []
+    return _search(df, value, probs, by or [], rows_per_range, F.col("prob") * (F.col("_total") - 1))
+
+
+def values_at(
+    df: DataFrame, value: str, ranks: list[int], by: list[str] | None = None, rows_per_range: int | None = None
+) -> DataFrame:
+    """Rows (by..., rank, value): the values at 0-based ranks of every group that has so many."""
+    found = _search(df, value, ranks, by or [], rows_per_range, F.col("prob"))
+    return found.withColumnsRenamed({"prob": "rank", "quantile": "value"})
+
+
+def _search(
+    df: DataFrame, value: str, probs: list[float], by: list[str], rows_per_range: int | None, rank: Column
+) -> DataFrame:
     v = F.col(value).cast("double")
     # Adding zero makes -0.0 and 0.0 one value.
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(v)).select(*by, (v + F.lit(0.0)).alias("_v"))
     rows = with_range(rows, by + ["_v"], split_points(rows, by + ["_v"], rows_per_range))
-    groups, wanted, small = list(by), _places(rows, probs, by), False
+    groups, wanted, small = list(by), _places(rows, probs, by, rank), False
     for cut in range(MAX_CUTS):
         found = wanted.limit(MAX_WANTED + 1).collect()
         small = len(found) <= MAX_WANTED
@@ -67,10 +80,9 @@ def _inside(rank: str) -> Column:
     return (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_before") + F.col("_n"))
 
 
-def _places(rows: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+def _places(rows: DataFrame, probs: list[float], by: list[str], rank: Column) -> DataFrame:
     """The ranges that hold the two ranks around each quantile."""
     counts = _counts(rows, by).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
-    rank = F.col("prob") * (F.col("_total") - 1)
     return (
         counts.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("_lo", F.floor(rank)).withColumn("_hi", F.ceil(rank)).withColumn("_frac", rank - F.col("_lo"))

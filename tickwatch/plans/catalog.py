@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwatch.functions.columns import gauge_value, rate_alert, rate_band, to_stream_name, to_symbol
-from tickwatch.operators import analytics, history, metrics, quality
+from tickwatch.operators import analytics, history, metrics, quality, tree_levels
 from tickwatch.operators.features import build_features
 from tickwatch.operators.forest import ForestModel, score
 from tickwatch.operators.inject import FADE, inject_anomalies
@@ -469,6 +469,16 @@ def evaluate_injected(spark, sf_dir):
     return flat(training.evaluate(training.train(build_features(events, "1 hour")))["report"])
 
 
+@query
+def forest_level_nodes(spark, sf_dir):
+    """The nodes of three trees over all feature rows, every level grown by one aggregation."""
+    features = domain.market_features(spark, sf_dir)
+    means, scales = scaler_values(features)
+    scaled = stage(standardize(features, means, scales), "scaled")
+    samples = scaled.withColumn("tree_id", F.explode(F.array(*[F.lit(t) for t in range(3)])))
+    return flat(tree_levels.grow(samples, scaled.count(), seed=42, subtree_rows=1))
+
+
 @query
 def preset_scores(spark, sf_dir):
     """The presets under the fitted model, each with the share of all rows that score lower."""

@@ -127,6 +127,33 @@ path AS (
 scored AS (SELECT symbol, window_start, window_end, -pow(2.0, -h / {_c(8)!r}) + 0.55 AS anomaly_score FROM path)"""
 
 
+def _level_nodes(trees: int = 3, levels: int = 12) -> str:
+    """Isolation trees level by level; the height limit follows from the number of rows, 2**levels at most."""
+    def u(k: int) -> str:
+        return f"('0x' || substr(md5(tree_id || '/' || path || ':42:{k}'), 1, 8))::BIGINT / 4294967296.0"
+
+    edges = ", ".join(f"min({c}) AS low_{i}, max({c}) AS high_{i}" for i, c in enumerate(FEATURES))
+    entries = ", ".join(f"{{'i': {i}, 'low': low_{i}, 'high': high_{i}}}" for i in range(len(FEATURES)))
+    value = " ".join(f"WHEN {i} THEN l.{c}" for i, c in enumerate(FEATURES))
+    parts = [f"""top AS (SELECT greatest(1, ceil(log2(count(*)))) AS height FROM scaled),
+l0 AS MATERIALIZED (SELECT t::INT AS tree_id, 1::BIGINT AS path, {', '.join(FEATURES)} FROM scaled, range({trees}) AS g(t))"""]
+    for d in range(levels + 1):
+        parts.append(f"""f{d} AS (SELECT tree_id, path, count(*) AS n, {edges} FROM l{d} GROUP BY tree_id, path),
+u{d} AS (SELECT *, list_filter([{entries}], lambda e: e.high - e.low > 1e-7) AS usable FROM f{d}),
+e{d} AS (SELECT *, usable[1 + floor({u(1)} * len(usable))::INT] AS e FROM u{d}),
+c{d} AS (SELECT *, e.low + {u(2)} * (e.high - e.low) AS cut FROM e{d}),
+n{d} AS MATERIALIZED (
+  SELECT tree_id, path, {d} AS depth, CASE WHEN {d} >= height OR n <= 1 THEN -1 ELSE coalesce(e.i, -1) END AS feature,
+         CASE WHEN cut >= e.high THEN e.low ELSE cut END AS threshold, n AS n_samples FROM c{d}, top),
+l{d + 1} AS MATERIALIZED (
+  SELECT l.tree_id, l.path * 2 + CASE WHEN CASE feature {value} END <= threshold THEN 0 ELSE 1 END AS path,
+         {', '.join(f'l.{c}' for c in FEATURES)}
+  FROM l{d} l JOIN n{d} n ON l.tree_id = n.tree_id AND l.path = n.path WHERE feature >= 0)""")
+    every = " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(levels + 1))
+    return f"""{_F6}, {_scaled()}, {', '.join(parts)}
+SELECT tree_id, path, depth, feature, CASE WHEN feature >= 0 THEN {r('threshold')} END AS threshold, n_samples FROM ({every})"""
+
+
 _SMALL_ROW = (f"symbol, {_epoch('window_start')}, {r('anomaly_score')} AS anomaly_score, "
               "anomaly_score < 0 AS is_anomaly")
 
@@ -394,6 +421,7 @@ SELECT count(*) AS n_rows, count(*) FILTER (is_anomaly) AS n_detected,
        {r('count(*) FILTER (is_anomaly) * 100.0 / count(*)')} AS detected_pct FROM pred"""
     sql["contamination_threshold"] = f"""{_PRED}
 SELECT 0.01::DOUBLE AS prob, {r('quantile_cont(anomaly_score, 0.01)')} AS quantile FROM pred"""
+    sql["forest_level_nodes"] = _level_nodes()
     for how in ("persistent", "fading", "transient"):
         sql[f"inject_anomalies_{how}"] = _inject(how)
     return sql

@@ -49,6 +49,7 @@ def train(
     contamination: float = CONTAMINATION,
     seed: int = SEED,
     materialize: bool = True,
+    max_samples="auto",
 ) -> Training:
     """Fit on 80% of each class when there are labelled anomalies, else on all rows.
 
@@ -61,7 +62,7 @@ def train(
     mode = label_summary(rows).first()["mode"]
     rule = stratified_rule(rows, LABEL, key, TEST_SHARE, seed) if mode == "labelled" else None
     fit_rows = train_test(rows, rule)[0] if rule else rows
-    model = fit_forest(fit_rows, list(key), n_estimators, contamination=contamination, seed=seed)
+    model = fit_forest(fit_rows, list(key), n_estimators, max_samples, contamination, seed)
     return Training(model, mode, rows, rule)
 
 

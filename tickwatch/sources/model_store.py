@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwatch.operators.forest import ForestModel
+from tickwatch.operators.forest import NODES_AT_ONCE, ForestModel
 from tickwatch.schema import FEATURES, META, NODES, SCALER
 from tickwatch.session import is_missing
 
 
-def _write(df: DataFrame, version: str, path: str) -> None:
+def _write(df: DataFrame, version: str, path: str, whole: bool = True) -> None:
+    marked = df.withColumn("model_version", F.lit(version))
     (
-        df.withColumn("model_version", F.lit(version)).coalesce(1)
+        (marked.coalesce(1) if whole else marked)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("model_version").parquet(path)
     )
@@ -27,11 +28,12 @@ def _write(df: DataFrame, version: str, path: str) -> None:
 def save_model(spark: SparkSession, model: ForestModel, path: str) -> None:
     """Write the model under its version; saving the same version again replaces it."""
     scaler = spark.createDataFrame(model.scaler_rows(), SCALER)
-    nodes = spark.createDataFrame(model.nodes[NODES.names], NODES)
+    large = isinstance(model.nodes, DataFrame)
+    nodes = model.nodes.select(*NODES.names) if large else spark.createDataFrame(model.nodes[NODES.names], NODES)
     meta = spark.createDataFrame([model.meta_row()], META).drop("model_version")
     now = datetime.datetime.now(datetime.timezone.utc)
     _write(scaler, model.version, f"{path}/scaler")
-    _write(nodes, model.version, f"{path}/nodes")
+    _write(nodes, model.version, f"{path}/nodes", not large)
     _write(meta.withColumn("saved_at", F.lit(now)), model.version, f"{path}/meta")
 
 
@@ -68,9 +70,9 @@ def load_model(spark: SparkSession, path: str, version: str | None = None) -> Fo
     if meta is None:
         return None
     scaler = _table(spark, f"{path}/scaler", SCALER.fields).where(chosen).orderBy("position").collect()
-    nodes = _table(spark, f"{path}/nodes", NODES.fields).where(chosen).select(*NODES.names).toPandas()
+    nodes = _table(spark, f"{path}/nodes", NODES.fields).where(chosen).select(*NODES.names)
     return ForestModel(
-        nodes=nodes,
+        nodes=nodes.toPandas() if nodes.count() <= NODES_AT_ONCE else nodes,
         means=[row["mean"] for row in scaler],
         scales=[row["scale"] for row in scaler],
         psi=meta["psi"], contamination=meta["contamination"], offset=meta["offset"],
