@@ -1,7 +1,11 @@
 """The recent-prediction view: the newest 500 rows by seq, and selections from it."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tickwatch.schema import PREDICTION
+from tickwatch.session import partition_numbers
 
 HISTORY = 500
 DEFAULT_LIMIT = 100
@@ -13,6 +17,30 @@ def history(predictions: DataFrame, size: int = HISTORY) -> DataFrame:
     return predictions.orderBy(F.desc("seq")).limit(size)
 
 
+def stored_view(spark: SparkSession, path: str, size: int = HISTORY) -> DataFrame:
+    """The newest rows of a prediction table partitioned by batch_id, in which seq grows with the batch.
+
+    Batches are taken from the newest back, twice as many at each look, until they
+    hold `size` rows; older ones are pruned by their folder names and never opened.
+    A table that is not there yet is an empty view.
+    """
+    batches = partition_numbers(spark, path, "batch_id")
+    if not batches:
+        return spark.createDataFrame([], PREDICTION)
+    stored = spark.read.schema(T.StructType([*PREDICTION.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+    taken = 1
+    while True:
+        newest = stored.where(F.col("batch_id") >= batches[-taken])
+        if taken == len(batches) or newest.limit(size).count() >= size:
+            return history(newest, size).select(*PREDICTION.names)
+        taken = min(2 * taken, len(batches))
+
+
+def latest_stored(spark: SparkSession, path: str, limit: int = DEFAULT_LIMIT, symbol: str | None = None) -> DataFrame:
+    """`latest` of a stored prediction table: as many batches are read as the view needs."""
+    return latest(stored_view(spark, path), limit, symbol)
+
+
 def of_symbol(predictions: DataFrame, symbol: str | None = None) -> DataFrame:
     """Rows of one symbol; None or All keeps every row."""
     if symbol is None or symbol == ALL:

@@ -4,12 +4,13 @@ import functools
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickwatch.functions.columns import gauge_value, rate_alert, rate_band, to_stream_name, to_symbol
 from tickwatch.operators import analytics, history, metrics, quality, tree_levels
-from tickwatch.operators.features import build_features
+from tickwatch.operators.features import build_features, model_view
 from tickwatch.operators.forest import ForestModel, score
 from tickwatch.operators.inject import FADE, inject_anomalies
 from tickwatch.operators.quantiles import quantiles
@@ -17,13 +18,16 @@ from tickwatch.operators.scaler import fit_scaler, moments, standardize
 from tickwatch.operators.split import stratified_rule
 from tickwatch.operators.trades import normalize_trades, parse_trades, quarantine_counts
 from tickwatch.plans import domain, training
-from tickwatch.schema import FEATURES, LABEL, NODES, PREDICTION
+from tickwatch.schema import FEATURE, FEATURES, LABEL, NODES, PREDICTION
 from tickwatch.session import scratch_path, stage
 from tickwatch.sources.events import decode_events, encode_events, text_message_stream
 from tickwatch.sources.exports import export_csv, read_csv
-from tickwatch.sources.feature_store import feature_sink, read_features, write_features
+from tickwatch.sources.feature_store import compact, feature_sink, read_compat, read_features, read_store, write_features
 from tickwatch.sources.model_store import load_model, model_info, save_model
-from tickwatch.streaming.feature_stream import start_feature_stream
+from tickwatch.streaming import request_stream
+from tickwatch.streaming.feature_stream import WATERMARK, start_feature_stream
+from tickwatch.streaming.progress import ProgressLog
+from tickwatch.streaming.progress import read as read_progress
 from tickwatch.streaming.return_stream import start_return_stream, stateful_log_return
 from tickwatch.streaming.score_stream import start_score_stream
 from tickwatch.streaming.trade_stream import start_trade_stream
@@ -301,7 +305,10 @@ def feature_stats(spark, sf_dir):
 @query
 def stats_view(spark, sf_dir):
     """The nested statistics of the recent view, one row per symbol."""
-    view = history.history(rule_predictions(spark, sf_dir))
+    return _nested_stats(history.history(rule_predictions(spark, sf_dir)))
+
+
+def _nested_stats(view: DataFrame) -> DataFrame:
     nested = analytics.stats(view)
     rows = nested.select(
         "total_predictions", "total_anomalies", "anomaly_rate", "avg_score",
@@ -368,6 +375,44 @@ def recent_alerts(spark, sf_dir):
     return analytics.alerts(history.recent_anomalies(view))
 
 
+def predictions_in_batches(spark, sf_dir, batches: int = 24) -> str:
+    """The predictions as a stream leaves them: a partition per batch, seq growing with the batch."""
+    path = scratch_path(spark, "predictions")
+    rows = stored_predictions(spark, sf_dir)
+    second = F.floor(F.col("seq") / (1 << 32))
+    first, last = rows.agg(F.min(second), F.max(second)).first()
+    batch = F.floor((second - F.lit(first)) * batches / F.lit(last - first + 1))
+    rows.withColumn("batch_id", batch).repartition("batch_id").write.partitionBy("batch_id").parquet(path)
+    return path
+
+
+@query
+def latest_stored_predictions(spark, sf_dir):
+    return flat(history.latest_stored(spark, predictions_in_batches(spark, sf_dir), 100))
+
+
+@query
+def latest_stored_of_symbol(spark, sf_dir):
+    return flat(history.latest_stored(spark, predictions_in_batches(spark, sf_dir), 50, "click"))
+
+
+@query
+def stored_alerts(spark, sf_dir):
+    view = history.latest_stored(spark, predictions_in_batches(spark, sf_dir), 500)
+    return analytics.alerts(history.recent_anomalies(view))
+
+
+@query
+def stored_kpis(spark, sf_dir):
+    return flat(analytics.kpis(history.latest_stored(spark, predictions_in_batches(spark, sf_dir))))
+
+
+@query
+def stored_stats(spark, sf_dir):
+    """The nested statistics of the stored table's recent view; its five parts read the newest batches alone."""
+    return _nested_stats(history.stored_view(spark, predictions_in_batches(spark, sf_dir)))
+
+
 @query
 def anomalies_only(spark, sf_dir):
     return flat(history.anomalies_only(rule_predictions(spark, sf_dir)).drop("label"))
@@ -490,6 +535,72 @@ def preset_scores(spark, sf_dir):
     return flat(presets.join(F.broadcast(below.unpivot([], list(marks), "preset", "share_below")), "preset"))
 
 
+@query
+def preset_scores_small(spark, sf_dir):
+    return flat(training.score_presets(spark, small_forest(domain.market_features(spark, sf_dir))))
+
+
+@query
+def model_facts(spark, sf_dir):
+    """What is known of a stored model, but for the size and time of its files."""
+    path = scratch_path(spark, "model")
+    save_model(spark, small_forest(domain.market_features(spark, sf_dir)), path)
+    facts = model_info(spark, path).drop("model_file_size_kb", "model_file_modified")
+    numbers = F.arrays_zip("feature_names", "scaler_means", "scaler_stds")
+    return flat(facts.select("loaded", "model_type", "n_estimators", "contamination", "max_samples", F.inline(numbers))
+                .withColumnsRenamed({"feature_names": "feature", "scaler_means": "mean", "scaler_stds": "std"}))
+
+
+def _first_parts(features: DataFrame, parts: int = 2) -> DataFrame:
+    """The rows of the first arrivals, of `ARRIVALS` even parts of time."""
+    second = F.unix_seconds("window_start")
+    first, last = features.agg(F.min(second), F.max(second)).first()
+    return features.where(F.floor((second - F.lit(first)) * ARRIVALS / F.lit(last - first + 1)) < parts)
+
+
+@query
+def evaluate_saved_model(spark, sf_dir):
+    """A model and its split are saved, a third of the rows is added, and all held-out rows are reported on."""
+    features = stage(domain.market_features(spark, sf_dir, "1 hour"), "features")
+    known = quality.drop_incomplete(_first_parts(features))
+    rule = stratified_rule(known, LABEL, training.KEY, training.TEST_SHARE, 42)
+    path = scratch_path(spark, "model")
+    training.save_training(spark, training.Training(small_forest(known), "labelled", known, rule), path)
+    return flat(training.evaluate_saved(spark, path, features)["report"])
+
+
+@query
+def unsupervised_summary(spark, sf_dir):
+    """A model saved without a split: the share of all rows it detects and the distribution of their scores."""
+    unlabelled = stage(domain.market_features(spark, sf_dir).drop(LABEL), "features")
+    path = scratch_path(spark, "model")
+    training.save_training(spark, training.Training(small_forest(unlabelled), "unsupervised", unlabelled, None), path)
+    parts = training.evaluate_saved(spark, path, unlabelled)
+    return flat(parts["detected"].crossJoin(F.broadcast(parts["scores"])))
+
+
+@query
+def train_on_compat_store(spark, sf_dir):
+    """The seven model columns alone, stored in two writes: split sizes, and rows that changed sides by the second."""
+    features = stage(domain.market_features(spark, sf_dir, "1 hour"), "features")
+    path, key = scratch_path(spark, "compat"), ("symbol", "row_key")
+    model_view(_first_parts(features)).write.partitionBy("symbol").parquet(path)
+    before = stage(read_compat(spark, path), "before")
+    rule = stratified_rule(before, LABEL, key, training.TEST_SHARE, 42)
+    sides = stage(before.select(*key, rule.test_column(before).alias("was_test")), "sides")
+    model_view(features.join(_first_parts(features), list(training.KEY), "left_anti")).write.mode("append").partitionBy(
+        "symbol").parquet(path)
+    trained = training.train(read_compat(spark, path), key, n_estimators=20)
+    now = trained.rows.withColumn("is_test", trained.rule.test_column(trained.rows)).withColumn(
+        "side", rule.test_column(trained.rows))
+    both = now.join(sides, list(key), "left")
+    return both.groupBy(LABEL).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("is_test").alias("n_test"),
+        F.count_if(F.col("was_test").isNotNull()).alias("n_before"), F.count_if("was_test").alias("n_test_before"),
+        F.count_if(F.col("side") != F.col("was_test")).alias("n_moved"),
+        F.lit(trained.model.n_train).alias("n_train"), F.lit(trained.model.psi).alias("psi"))
+
+
 @query
 def model_info_row(spark, sf_dir):
     path = scratch_path(spark, "model")
@@ -526,6 +637,18 @@ def arrive(df: DataFrame, seconds, path: str, run: Callable[[], object], arrival
         run()
 
 
+@query
+def compacted_store(spark, sf_dir):
+    """Three arrivals of features, the store compacted after each, and the days of the second read from few files."""
+    path = scratch_path(spark, "features")
+    features = stage(domain.market_features(spark, sf_dir), "features")
+    arrive(features, F.unix_seconds("window_start"), path, lambda: compact(spark, path, file_rows=100, fanout=2),
+           write=write_features)
+    since, until = features.select(*[F.timestamp_seconds(F.floor(F.unix_seconds(edge) / 86400) * 86400) for edge in (
+        F.percentile_approx("window_start", 0.3), F.percentile_approx("window_start", 0.6))]).first()
+    return flat(read_store(spark, path, since, until).unionByName(read_store(spark, path)))
+
+
 def _messages(spark, sf_dir) -> DataFrame:
     """The events, and copies of some whose time is in another unit: a stream must pass over those."""
     events = domain.market_events(spark, sf_dir).withColumn("timestamp", F.unix_seconds("event_time"))
@@ -612,3 +735,78 @@ def stream_score(spark, sf_dir):
     arrive(features, F.unix_seconds("window_start"), store, run)
     return flat(spark.read.parquet(out).drop("batch_id", "model_version").withColumn(
         "seq", F.col("seq").cast("bigint")))
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Each arrival's messages, and the windows that its late ones reached after they had closed."""
+    source, path, checkpoint, log = (scratch_path(spark, n) for n in ("messages", "features", "checkpoint", "progress"))
+    events = domain.market_events(spark, sf_dir).withColumn("timestamp", F.unix_seconds("event_time"))
+    first, last = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+    part = F.floor((F.col("timestamp") - F.lit(first)) * ARRIVALS / F.lit(last - first + 1))
+    # Some messages of the first part come with the last one.
+    dealt = stage(events.withColumn("part", F.when(F.col("event_id") % 29 == 3, F.greatest(part, F.lit(ARRIVALS - 1)))
+                                    .otherwise(part)), "events")
+    with ProgressLog(spark, log) as progress:
+        for i in range(ARRIVALS):
+            _write_messages(dealt.where(F.col("part") == i).drop("part"), source)
+            progress.wait(start_feature_stream(
+                text_message_stream(spark, source), path, checkpoint, domain.WINDOW, extra="event_id bigint",
+                available_now=True))
+    batches = read_progress(spark, log).where("n_rows > 0")
+    arrival = F.row_number().over(Window.orderBy("batch_id")) - 1
+    return batches.select(arrival.alias("arrival"), "n_rows", "n_without_time", "late_windows")
+
+
+def request_messages(spark, sf_dir) -> DataFrame:
+    """The features as JSON scoring requests; of every seven four are wrong, each in another way."""
+    rows = rule_predictions(spark, sf_dir).select(F.col("seq").alias("request_id"), "symbol", *FEATURES)
+    turn = F.col("request_id") % 7
+    wrong = rows.withColumns({
+        "z_score_price": F.when(turn == 0, F.lit(150.0)).otherwise(F.col("z_score_price")),
+        "rolling_price_std": F.when(turn == 1, F.lit(-1.0)).otherwise(F.col("rolling_price_std")),
+        "rolling_volume_std": F.when(turn != 3, F.col("rolling_volume_std"))})
+    text = F.to_json(F.struct("symbol", *FEATURES))
+    return wrong.select("request_id", F.when(turn == 2, F.lit("{broken")).otherwise(text).alias("value"))
+
+
+@query
+def score_requests(spark, sf_dir):
+    """JSON requests in three arrivals -> checked -> scored -> predictions and refusals, with a mark per batch."""
+    source, model, path, checkpoint = (scratch_path(spark, n) for n in ("requests", "model", "answers", "checkpoint"))
+    save_model(spark, small_forest(domain.market_features(spark, sf_dir)), model)
+    messages = stage(request_messages(spark, sf_dir), "requests")
+
+    def run():
+        stream = spark.readStream.schema(messages.schema).parquet(source)
+        request_stream.start_request_stream(stream, model, path, checkpoint, available_now=True).awaitTermination()
+
+    arrive(messages, F.floor(F.col("request_id") / (1 << 32)), source, run)
+    answered = request_stream.predictions(spark, path).select(
+        "request_id", "symbol", "seq", "anomaly_score", "is_anomaly", F.lit("").alias("reasons"))
+    refused = request_stream.rejects(spark, path).select(
+        "request_id", "symbol", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("anomaly_score"),
+        F.lit(None).cast("boolean").alias("is_anomaly"), F.concat_ws("; ", "reject_reasons").alias("reasons"))
+    return flat(answered.unionByName(refused))
+
+
+@query
+def stream_chain_stats(spark, sf_dir):
+    """Ticks -> returns -> features -> scores, three chained streams over three arrivals; statistics of what they stored."""
+    names = ("ticks", "returns", "state", "features", "model", "predictions", "rejects", "cp_returns", "cp_features", "cp_scores")
+    source, returns, state, store, model, out, rejects, cp1, cp2, cp3 = (scratch_path(spark, n) for n in names)
+    save_model(spark, small_forest(domain.market_features(spark, sf_dir)), model)
+
+    def run(ticks):
+        start_return_stream(ticks, returns, state, cp1, available_now=True).awaitTermination()
+        schema = T.StructType([*ticks.schema.fields, T.StructField("log_return", T.DoubleType())])
+        # A micro-batch that was repeated after a failure is read again, in new files.
+        events = spark.readStream.schema(schema).parquet(returns).withWatermark(
+            "event_time", WATERMARK).dropDuplicatesWithinWatermark(["symbol", "event_id"])
+        feature_sink(build_features(events, domain.WINDOW), store, cp2).trigger(availableNow=True).start().awaitTermination()
+        features = spark.readStream.schema(FEATURE).parquet(store)
+        start_score_stream(features, model, out, rejects, cp3, available_now=True).awaitTermination()
+
+    _arriving_ticks(spark, sf_dir, source, run)
+    stored = spark.read.parquet(out).drop("batch_id")
+    return flat(analytics.per_symbol(stored))

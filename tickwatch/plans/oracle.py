@@ -2,6 +2,7 @@
 
 import math
 
+from tickwatch.plans.training import PRESETS
 from tickwatch.schema import FEATURES
 
 _EVENT_TICKS = """
@@ -114,17 +115,30 @@ def _scaled() -> str:
     return f"scaled AS (SELECT symbol, window_start, window_end, {scaled} FROM feat)"
 
 
-def _small_forest() -> str:
-    return f"""{_F6}, {_scaled()},
+def _scaled_by(rows: str, known: str, keep: str) -> str:
+    """The features of `rows` scaled by the moments of `known`."""
+    moments = ", ".join(f"avg({c}) AS m{i}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s{i}"
+                        for i, c in enumerate(FEATURES))
+    scaled = ", ".join(f"(x.{c} - m{i}) / s{i} AS {c}" for i, c in enumerate(FEATURES))
+    return f"moments AS (SELECT {moments} FROM {known}), scaled AS (SELECT {keep}, {scaled} FROM {rows} x, moments)"
+
+
+def _small_scores(keep: str) -> str:
+    """path and scored: the hand-written forest over the rows of `scaled`."""
+    return f"""
 path AS (
-  SELECT symbol, window_start, window_end,
+  SELECT {keep},
     ( CASE WHEN z_score_price <= 0.0 THEN {1 + _c(5)!r}
            WHEN z_score_volume <= 0.5 THEN {2 + _c(2)!r} ELSE {2 + _c(1)!r} END
     + CASE WHEN rolling_price_std > 1.0 THEN {1 + _c(1)!r}
            WHEN z_score_log_return <= -0.5 THEN {2 + _c(3)!r} ELSE {2 + _c(4)!r} END
     + CASE WHEN rolling_volume_std <= -1.0 THEN {1 + _c(1)!r} ELSE {1 + _c(7)!r} END) / 3.0 AS h
   FROM scaled),
-scored AS (SELECT symbol, window_start, window_end, -pow(2.0, -h / {_c(8)!r}) + 0.55 AS anomaly_score FROM path)"""
+scored AS (SELECT {keep}, -pow(2.0, -h / {_c(8)!r}) + 0.55 AS anomaly_score FROM path)"""
+
+
+def _small_forest() -> str:
+    return f"{_F6}, {_scaled()},{_small_scores('symbol, window_start, window_end')}"
 
 
 def _level_nodes(trees: int = 3, levels: int = 12) -> str:
@@ -206,17 +220,17 @@ SELECT event_id, {r('price', 2)} AS price, {r('volume')} AS volume,
 FROM final"""
 
 
-def _report() -> str:
+def _report(source: str = "pred", head: str | None = None) -> str:
     def cls(name: str, t: int) -> str:
         return (f"SELECT '{name}' AS class, p{t} AS precision, r{t} AS recall, "
                 f"CASE WHEN p{t} + r{t} = 0 THEN 0.0 ELSE 2 * p{t} * r{t} / nullif(p{t} + r{t}, 0) END AS f1, "
                 f"s{t} AS support FROM pr")
 
-    return f"""{_PRED},
+    return f"""{head or _PRED},
 cm AS (
   SELECT count(*) FILTER (label = 0 AND NOT is_anomaly) AS tn, count(*) FILTER (label = 0 AND is_anomaly) AS fp,
          count(*) FILTER (label = 1 AND NOT is_anomaly) AS fn, count(*) FILTER (label = 1 AND is_anomaly) AS tp
-  FROM pred),
+  FROM {source}),
 pr AS (
   SELECT coalesce(tn / nullif(tn + fn, 0), 0.0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0.0) AS r0, tn + fp AS s0,
          coalesce(tp / nullif(tp + fp, 0), 0.0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r1, tp + fn AS s1,
@@ -287,6 +301,55 @@ _SQL_STREAM_FEATURES = f"{_F6} SELECT {_FEATURE_ROW} FROM feat WHERE {_CLOSED}"
 _SQL_LOG_RETURN = f"SELECT event_id, symbol, {r('log_return')} AS log_return FROM tick"
 
 
+_ARRIVED = (f"arrived AS (SELECT feat.*, {_BATCH} AS arrival FROM feat, {_ARRIVAL})")
+
+
+def _saved_report() -> str:
+    """Cut-offs from the rows of the first two arrivals; every row at or below its label's cut-off is held out."""
+    return _report("pred", f"""WITH {_features('1 hour')}, {_ARRIVED},
+hashed AS (SELECT *, md5('s' || symbol || chr(0) || 's' || epoch_us(window_start) || chr(0) || '42') AS h FROM arrived),
+known AS (SELECT * FROM hashed WHERE arrival < 2),
+placed AS (SELECT is_anomaly, h, row_number() OVER (PARTITION BY is_anomaly ORDER BY h) AS i,
+                  floor(count(*) OVER (PARTITION BY is_anomaly) * 0.2 + 0.5) AS need FROM known),
+cuts AS (SELECT is_anomaly, h AS cut FROM placed WHERE i = need),
+{_scaled_by('(SELECT hashed.* FROM hashed JOIN cuts ON hashed.is_anomaly = cuts.is_anomaly AND h <= cut)', 'known', 'is_anomaly')},
+{_small_scores('is_anomaly')},
+pred AS (SELECT is_anomaly AS label, anomaly_score < 0 AS is_anomaly FROM scored)""")
+
+
+def _presets() -> str:
+    rows = ", ".join(f"('{name}', {', '.join(map(repr, values))})" for name, values in PRESETS.items())
+    gauge = "CASE WHEN anomaly_score < 0 THEN 100.0 ELSE greatest(0.0, least(100.0, abs(anomaly_score) * 20)) END"
+    return f"""{_F6},
+asked AS (SELECT * FROM (VALUES {rows}) AS v(preset, {', '.join(FEATURES)})),
+{_scaled_by('asked', 'feat', 'preset')},{_small_scores('preset')}
+SELECT preset, {r('anomaly_score')} AS anomaly_score, anomaly_score < 0 AS is_anomaly, {r(gauge)} AS gauge,
+       printf('%.4f', anomaly_score) AS score_text FROM scored"""
+
+
+def _requests() -> str:
+    turn = "seq % 7"
+    return f"""{_PRED},
+asked AS (
+  SELECT seq AS request_id, CASE WHEN {turn} <> 2 THEN symbol END AS symbol,
+         CASE {turn} WHEN 0 THEN 150.0 WHEN 2 THEN NULL ELSE z_score_price END AS z_score_price,
+         CASE WHEN {turn} <> 2 THEN z_score_log_return END AS z_score_log_return,
+         CASE WHEN {turn} <> 2 THEN z_score_volume END AS z_score_volume,
+         CASE {turn} WHEN 1 THEN -1.0 WHEN 2 THEN NULL ELSE rolling_price_std END AS rolling_price_std,
+         CASE WHEN {turn} NOT IN (2, 3) THEN rolling_volume_std END AS rolling_volume_std
+  FROM pred),
+checked AS (SELECT *, {_reasons()} AS reasons FROM asked),
+{_scaled_by('(SELECT * FROM checked)', 'feat', 'request_id, symbol, reasons')},
+{_small_scores('request_id, symbol, reasons')},
+edge AS (SELECT min(request_id // 4294967296) AS lo, max(request_id // 4294967296) AS hi FROM asked),
+parts AS (SELECT *, floor((request_id // 4294967296 - lo) * 3 / (hi - lo + 1))::BIGINT AS batch FROM scored, edge)
+SELECT request_id, symbol,
+       CASE WHEN reasons = '' THEN batch * 68719476736 + row_number() OVER (PARTITION BY batch, reasons = '' ORDER BY request_id) - 1
+            END::BIGINT AS seq,
+       CASE WHEN reasons = '' THEN {r('anomaly_score')} END AS anomaly_score,
+       CASE WHEN reasons = '' THEN anomaly_score < 0 END AS is_anomaly, reasons FROM parts"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "window_features": f"{_F6} SELECT {_FEATURE_ROW} FROM feat",
@@ -422,6 +485,46 @@ SELECT count(*) AS n_rows, count(*) FILTER (is_anomaly) AS n_detected,
     sql["contamination_threshold"] = f"""{_PRED}
 SELECT 0.01::DOUBLE AS prob, {r('quantile_cont(anomaly_score, 0.01)')} AS quantile FROM pred"""
     sql["forest_level_nodes"] = _level_nodes()
+    for stored, view in (("latest_stored_predictions", "latest_predictions"), ("stored_alerts", "recent_alerts"),
+                         ("latest_stored_of_symbol", "latest_of_symbol"), ("stored_kpis", "kpis"), ("stored_stats", "stats_view")):
+        sql[stored] = sql[view]
+    sql["preset_scores_small"] = _presets()
+    long = f"long AS ({_long('feat')})"
+    sql["model_facts"] = f"""{_F6}, {long}
+SELECT TRUE AS loaded, 'IsolationForest' AS model_type, 3::INT AS n_estimators, 0.01::DOUBLE AS contamination,
+       'auto' AS max_samples, feature, {r('avg(value)')} AS mean,
+       {r('CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END')} AS std FROM long GROUP BY feature"""
+    sql["evaluate_saved_model"] = _saved_report()
+    sql["unsupervised_summary"] = f"""{_small_forest()}
+SELECT count(*) AS n_rows, count(*) FILTER (anomaly_score < 0) AS n_detected,
+       {r('count(*) FILTER (anomaly_score < 0) * 100.0 / count(*)')} AS detected_pct,
+       {r('avg(anomaly_score)')} AS mean_score, {r('stddev_pop(anomaly_score)')} AS std_score,
+       {r('min(anomaly_score)')} AS min_score, {r('max(anomaly_score)')} AS max_score FROM scored"""
+    sql["train_on_compat_store"] = f"""WITH {_features('1 hour')}, {_ARRIVED},
+n AS (SELECT is_anomaly, count(*) AS n_rows, count(*) FILTER (arrival < 2) AS n_before FROM arrived GROUP BY is_anomaly),
+t AS (SELECT *, floor(n_rows * 0.2 + 0.5)::BIGINT AS n_test, floor(n_before * 0.2 + 0.5)::BIGINT AS n_test_before FROM n)
+SELECT is_anomaly, n_rows, n_test, n_before, n_test_before, 0::BIGINT AS n_moved,
+       sum(n_rows - n_test) OVER ()::BIGINT AS n_train, least(256, sum(n_rows - n_test) OVER ())::INT AS psi FROM t"""
+    sql["compacted_store"] = f"""{_F6},
+edge AS (SELECT time_bucket(INTERVAL '1 day', quantile_disc(window_start, 0.3), TIMESTAMP '1970-01-01') AS since,
+                time_bucket(INTERVAL '1 day', quantile_disc(window_start, 0.6), TIMESTAMP '1970-01-01') AS until FROM feat)
+SELECT {_FEATURE_ROW} FROM feat
+UNION ALL SELECT {_FEATURE_ROW} FROM feat, edge WHERE window_start >= since AND window_start < until"""
+    sql["stream_late_rows"] = f"""WITH {_EVENT_TICKS},
+t AS (SELECT *, epoch(ts)::BIGINT AS s FROM (SELECT event_id, symbol, date_trunc('second', ts) AS ts FROM ev)),
+e AS (SELECT min(s) AS lo, max(s) AS hi FROM t),
+p AS (SELECT *, floor((s - lo) * 3 / (hi - lo + 1))::INT AS part FROM t, e),
+a AS (SELECT *, CASE WHEN event_id % 29 = 3 THEN greatest(part, 2) ELSE part END AS arrival, s // 21600 AS w FROM p),
+m AS (SELECT arrival, count(*) AS n_rows, max(s) AS top FROM a GROUP BY arrival),
+k AS (SELECT *, max(top) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60 AS mark FROM m),
+late AS (SELECT arrival, count(DISTINCT (symbol, w)) AS late_windows FROM a JOIN k USING (arrival)
+         WHERE (w + 1) * 21600 <= mark GROUP BY arrival)
+SELECT arrival, n_rows, 0::BIGINT AS n_without_time, coalesce(late_windows, 0) AS late_windows FROM k LEFT JOIN late USING (arrival)"""
+    sql["score_requests"] = _requests()
+    sql["stream_chain_stats"] = f"""{_small_forest()},
+pred AS (SELECT symbol, anomaly_score, anomaly_score < 0 AS is_anomaly FROM scored
+         WHERE window_end <= (SELECT to_timestamp(floor(epoch(max(ts))))::TIMESTAMP FROM ev) - INTERVAL '1 minute')
+SELECT symbol, {_TOTALS.format(n='count', a='anomalies')} FROM pred GROUP BY symbol"""
     for how in ("persistent", "fading", "transient"):
         sql[f"inject_anomalies_{how}"] = _inject(how)
     return sql

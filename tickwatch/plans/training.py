@@ -17,6 +17,7 @@ from tickwatch.operators.quality import drop_incomplete, label_summary
 from tickwatch.operators.split import SplitRule, stratified_rule, train_test
 from tickwatch.schema import FEATURES, LABEL
 from tickwatch.session import stage
+from tickwatch.sources.model_store import held_out, load_model, load_split, save_model, save_split
 
 KEY = ("symbol", "window_start")
 TEST_SHARE = 0.2
@@ -68,9 +69,12 @@ def train(
 
 def evaluate(training: Training) -> dict[str, DataFrame]:
     """report and confusion (labelled) or detected (unsupervised), and the score distribution."""
-    scored = score(training.held_out(), training.model)
+    return _evaluation(score(training.held_out(), training.model), training.rule is not None)
+
+
+def _evaluation(scored: DataFrame, labelled: bool) -> dict[str, DataFrame]:
     result = {"scores": score_distribution(scored)}
-    if training.rule:
+    if labelled:
         result["report"] = classification_report(scored, "label", "is_anomaly")
         result["confusion"] = confusion_matrix(scored, "label", "is_anomaly")
     else:
@@ -78,6 +82,26 @@ def evaluate(training: Training) -> dict[str, DataFrame]:
     return result
 
 
+def save_training(spark: SparkSession, training: Training, path: str) -> None:
+    """The model and, where there is one, the split it was fitted under; the model becomes visible last."""
+    if training.rule:
+        save_split(spark, training.rule, training.model.version, path)
+    save_model(spark, training.model, path)
+
+
+def evaluate_saved(spark: SparkSession, path: str, features: DataFrame, version: str | None = None) -> dict[str, DataFrame]:
+    """`evaluate` of a saved model on rows its training never saw, rows added to the table since included.
+
+    Without a saved split (a model fitted on unlabelled rows) all rows are looked at.
+    """
+    model = load_model(spark, path, version)
+    if model is None:
+        raise RuntimeError(f"no model in {path}")
+    split = load_split(spark, path, model.version)
+    rows = drop_incomplete(features)
+    return _evaluation(score(held_out(rows, split, LABEL) if split else rows, model), split is not None)
+
+
 def presets(spark: SparkSession) -> DataFrame:
     rows = [(name, "BTC-USDT", *values) for name, values in PRESETS.items()]
     columns = ", ".join(f"{c} DOUBLE" for c in FEATURES)

@@ -43,6 +43,13 @@ FEATURE = table(
     f"symbol string, window_start timestamp, window_end timestamp, {_FEATURE_DOUBLES}, is_anomaly int"
 )
 
+# The model columns alone, as stores without window bounds hold them.
+COMPAT = table(f"symbol string, {_FEATURE_DOUBLES}, is_anomaly int")
+
+MANIFEST = table(
+    "kind string, symbol string, file string, n_rows bigint, first_window timestamp, last_window timestamp"
+)
+
 # A scoring request as text fields: numbers may arrive quoted or not.
 REQUEST = table("symbol string, " + ", ".join(f"{name} string" for name in FEATURES))
 
@@ -63,3 +70,11 @@ PREDICTION = table(
     f"seq bigint, symbol string, {_FEATURE_DOUBLES}, anomaly_score double, "
     "is_anomaly boolean, model_version string"
 )
+
+# A report per micro-batch; the watermark is text as the engine prints it.
+PROGRESS = table(
+    "query_id string, batch_id bigint, reported_at string, n_rows bigint, n_without_time bigint, "
+    "late_windows bigint, open_windows bigint, watermark string"
+)
+
+SPLIT = table("model_version string, label string, cut string, keys string, seed bigint")

@@ -81,6 +81,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where it is missing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
+def partition_numbers(spark: SparkSession, path: str, column: str) -> list[int]:
+    """The values of an integer partition column, ascending, from the folder names alone."""
+    start = f"{column}="
+    return sorted(int(name[len(start):]) for name in children(spark, path)
+                  if name.startswith(start) and name[len(start):].lstrip("-").isdigit())
+
+
 @contextlib.contextmanager
 def staged(df: DataFrame, name: str = "stage"):
     """A staged table that is deleted at the end of the block, also after an error."""

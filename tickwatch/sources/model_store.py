@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwatch.operators.forest import NODES_AT_ONCE, ForestModel
-from tickwatch.schema import FEATURES, META, NODES, SCALER
+from tickwatch.operators.split import SplitRule, row_hash
+from tickwatch.schema import FEATURES, META, NODES, SCALER, SPLIT
 from tickwatch.session import is_missing
 
 
@@ -81,6 +82,51 @@ def load_model(spark: SparkSession, path: str, version: str | None = None) -> Fo
     )
 
 
+class LatestModel:
+    """The newest model of a store, loaded again only when a newer version is there."""
+
+    def __init__(self, path: str):
+        self.path, self.model = path, None
+
+    def get(self, spark: SparkSession) -> ForestModel:
+        version = latest_version(spark, self.path)
+        if version is None:
+            raise RuntimeError(f"no model in {self.path}")
+        if self.model is None or self.model.version != version:
+            self.model = load_model(spark, self.path, version)
+        return self.model
+
+
+def save_split(spark: SparkSession, rule: SplitRule, version: str, path: str) -> None:
+    """Keep with a model which rows it must not have seen: a cut-off hash per label value."""
+    rows = [(version, str(value), cut, "\0".join(rule.key), rule.seed) for value, cut in rule.cuts.items()]
+    _write(spark.createDataFrame(rows, SPLIT).drop("model_version"), version, f"{path}/split")
+
+
+def load_split(spark: SparkSession, path: str, version: str) -> DataFrame | None:
+    """The split table (label, cut, keys, seed) of a version; None where it was fitted on all rows."""
+    try:
+        split = _table(spark, f"{path}/split", SPLIT.fields).where(F.col("model_version") == version).drop("model_version")
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        return None
+    return None if split.isEmpty() else split
+
+
+def held_out(rows: DataFrame, split: DataFrame, label: str) -> DataFrame:
+    """The rows that a saved split keeps from training, of tables that have grown since as well.
+
+    A row's side follows from its key alone. Label values that the split does not know are left out.
+    """
+    first = split.select("keys", "seed").first()
+    cuts = split.select(F.col("label").alias("_label"), "cut")
+    hashed = rows.withColumn("_hash", row_hash(tuple(first["keys"].split("\0")), first["seed"], rows))
+    # One row per label value of a classifier's target.
+    near = F.col(label).cast("string") == F.col("_label")
+    return hashed.join(F.broadcast(cuts), near).where(F.col("_hash") <= F.col("cut")).select(*rows.columns)
+
+
 def model_files(spark: SparkSession, path: str, version: str) -> DataFrame:
     """One row: total size in KB and last change of a version's files."""
     parts = [

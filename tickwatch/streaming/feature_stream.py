@@ -6,6 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tickwatch.operators.features import WINDOW, build_features
 from tickwatch.sources.events import decode_events
 from tickwatch.sources.feature_store import feature_sink
+from tickwatch.streaming.progress import observed
 
 WATERMARK = "1 minute"
 
@@ -25,8 +26,11 @@ def start_feature_stream(
     extra: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Run messages -> features -> feature store; restarts continue from the checkpoint."""
-    events = decode_events(messages, keep, extra)
+    """Run messages -> features -> feature store; restarts continue from the checkpoint.
+
+    A `ProgressLog` around it keeps what its micro-batches report.
+    """
+    events = observed(decode_events(messages, keep, extra))
     writer = feature_sink(stream_features(events, window, watermark), path, checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -8,7 +8,7 @@ from tickwatch.operators.forest import ForestModel, score
 from tickwatch.operators.ordered import scan_in_order
 from tickwatch.operators.quality import split_valid
 from tickwatch.schema import FEATURES, PREDICTION
-from tickwatch.sources.model_store import latest_version, load_model
+from tickwatch.sources.model_store import LatestModel
 from tickwatch.streaming.return_stream import write_batch
 
 # seq = batch number and position in the batch in one BIGINT.
@@ -27,18 +27,12 @@ def start_score_stream(
     available_now: bool = False,
 ) -> StreamingQuery:
     """Score each micro-batch with the newest model; without a model the query fails and can be restarted."""
-    held: dict[str, ForestModel] = {}
+    models = LatestModel(model_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = latest_version(spark, model_path)
-        if version is None:
-            raise RuntimeError(f"no model in {model_path}")
-        if version not in held:
-            held.clear()
-            held[version] = load_model(spark, model_path, version)
+        model = models.get(batch.sparkSession)
         valid, rejected = split_valid(batch)
-        write_batch(predictions_of_batch(valid, held[version], batch_id), predictions_path, batch_id)
+        write_batch(predictions_of_batch(valid, model, batch_id), predictions_path, batch_id)
         write_batch(rejected.select("symbol", *FEATURES, "reject_reasons"), rejects_path, batch_id)
 
     writer = features.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
