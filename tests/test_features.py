@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickwatch.operators.features import build_features, model_view, rolling_stats, with_z_scores
 from tickwatch.operators.returns import with_log_return
 from tickwatch.schema import FEATURE
+from tickwatch.sources.events import message_id
 
 Z_COLUMNS = ("price, rolling_price_mean, rolling_price_std, log_return, rolling_log_return_mean, "
              "rolling_log_return_std, volume, rolling_volume_mean, rolling_volume_std").split(", ")
@@ -56,6 +57,23 @@ def test_last_value_follows_time_then_id_not_input_order(spark):
         assert rolling_stats(events(spark, shuffled)).first()["price"] == 3.0
 
 
+def test_ties_without_an_id_go_to_the_same_values(spark):
+    rows = [(i, 5, "a", float(i), 1.0, 0.0, False) for i in range(40)]
+    last = set()
+    for shuffled in (rows, rows[::-1], rows[20:] + rows[:20]):
+        frame = events(spark, shuffled).drop("event_id").repartition(3)
+        stats = rolling_stats(frame)
+        last.add(stats.first()["price"])
+        assert "SortAggregate" not in stats._jdf.queryExecution().executedPlan().toString()
+    assert len(last) == 1
+
+
+def test_message_ids_order_a_partition_and_are_unique(spark):
+    rows = spark.createDataFrame([(p, o) for p in (0, 1, 32_767) for o in (0, 1, 2**48 - 1)], "partition int, offset long")
+    ids = [r[0] for r in rows.select(message_id("partition", "offset")).collect()]
+    assert ids == sorted(ids) and len(set(ids)) == 9 and ids[0] == 0
+
+
 def test_single_row_window_has_zero_scores(spark):
     row = build_features(events(spark, [(1, 0, "a", 10.0, 1.0, 0.0, False)])).first()
     assert (row["z_score_price"], row["rolling_price_std"]) == (0.0, 0.0)

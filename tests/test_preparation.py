@@ -104,16 +104,29 @@ def test_split_equals_ranking_by_hash(spark):
     assert test.exceptAll(ranked).count() == 0
 
 
-def test_split_finds_its_cut_through_several_prefix_levels(spark, monkeypatch):
-    import tickwatch.operators.split as split
+def test_split_finds_its_cut_through_several_ranges(spark):
+    from tickwatch.operators.ordered import ROWS_PER_RANGE_CONF
 
-    monkeypatch.setattr(split, "_DIGITS", 1)
-    monkeypatch.setattr(split, "_SMALL", 3)
     df = spark.range(3000).select("id", F.lit(0).alias("y"))
-    _, test = train_test(df, stratified_rule(df, "y", ("id",)))
+    spark.conf.set(ROWS_PER_RANGE_CONF, "3")
+    try:
+        _, test = train_test(df, stratified_rule(df, "y", ("id",)))
+    finally:
+        spark.conf.unset(ROWS_PER_RANGE_CONF)
     assert test.count() == 600
 
 
+def test_split_of_many_small_classes(spark):
+    df = spark.range(600).select("id", (F.col("id") % 150).alias("y"))
+    _, test = train_test(df, stratified_rule(df, "y", ("id",)))
+    # Of four rows of a class one is held out.
+    assert test.count() == 150 and test.select("y").distinct().count() == 150
+    with pytest.raises(ValueError, match="more than"):
+        stratified_rule(spark.range(3000).withColumn("y", F.col("id") % 1500), "y", ("id",))
+    few = spark.range(4).select("id", F.lit(0).alias("y"))
+    assert train_test(few, stratified_rule(few, "y", ("id",), 0.1))[1].count() == 0
+
+
 def test_split_keeps_sides_when_rows_are_added(spark):
     df = spark.range(1000).select("id", F.lit(0).alias("y"))
     rule = stratified_rule(df, "y", ("id",))

@@ -77,6 +77,17 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     assert got.select(*cut).exceptAll(batch.select(*cut)).count() == 0
 
 
+def test_an_id_beside_the_message_decides_ties(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    rows = [(message(5, price=float(p)), i) for i, p in ((3, 30), (9, 90), (7, 70))] + [(message(1000), 10)]
+    schema = "value string, event_id bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    start_feature_stream(spark.readStream.schema(schema).parquet(folder), out, checkpoint, available_now=True).awaitTermination()
+    row = read_features(spark, out).first()
+    # The last price, 90, lies above the mean of 63.3.
+    assert row["z_score_price"] == pytest.approx((90 - 190 / 3) / row["rolling_price_std"])
+
+
 def test_store_layout(spark, features, tmp_path):
     path = str(tmp_path / "store")
     with pytest.raises(FileNotFoundError):

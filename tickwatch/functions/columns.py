@@ -127,6 +127,7 @@ def gauge_value(score, is_anomaly) -> Column:
 
 
 def alert_text(symbol, score, z_price, z_log_return, z_volume) -> Column:
+    # The wording of an alert.
     return F.format_string(
         "%s — score: %.4f | z_price: %.2f | z_log_ret: %.2f | z_vol: %.2f",
         _col(symbol), _col(score), _col(z_price), _col(z_log_return), _col(z_volume),

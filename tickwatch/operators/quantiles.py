@@ -41,6 +41,12 @@ def values_at(
     return found.withColumnsRenamed({"prob": "rank", "quantile": "value"})
 
 
+def shares(df: DataFrame, value: str, share: float, by: list[str] | None = None) -> DataFrame:
+    """Rows (by..., value): the greatest of the round(share * n) smallest values of each group, where that is one or more."""
+    rank = F.floor(F.col("_total") * F.col("prob") + 0.5) - 1
+    return _search(df, value, [share], by or [], None, rank).select(*(by or []), F.col("quantile").alias("value"))
+
+
 def _search(
     df: DataFrame, value: str, probs: list[float], by: list[str], rows_per_range: int | None, rank: Column
 ) -> DataFrame:

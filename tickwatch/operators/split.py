@@ -1,9 +1,9 @@
 """Exact stratified hold-out split that never ranks a whole stratum in one task.
 
 Each row has a fixed place in [0, 2^128): the MD5 of its key and the seed. A
-stratum's test part is its rows with the smallest hashes. The cut-off hash is
-found digit by digit from counts per prefix, so the split itself is a comparison
-against one constant per stratum: no window, no shuffle of the data. A row's
+stratum's test part is its rows with the smallest hashes. The cut-offs of all strata
+are found together, by one search for ranks by counts, so the split itself is a
+comparison against one constant per stratum: no window, no shuffle of the data. A row's
 side depends only on its key and the kept cut-offs, so rows added later do not
 move training rows into the test part.
 """
@@ -13,9 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DIGITS = 4
-# Few enough distinct hashes to look at directly.
-_SMALL = 65_536
+from tickwatch.operators.quantiles import shares
+from tickwatch.session import staged
+
+# So many hexadecimal digits of a hash are a whole number that a double holds exactly.
+_DIGITS = 13
+# A column with more values than this is no class to split by.
+MAX_LABELS = 1_000
 
 
 @dataclass(frozen=True)
@@ -44,48 +48,24 @@ def row_hash(key: tuple[str, ...], seed: int, df: DataFrame | None = None) -> Co
     return F.md5(F.concat_ws("\0", *[_text(df, c) for c in key], F.lit(str(seed))))
 
 
-def _cut(hashes: DataFrame, need: int, prefix: str = "") -> str:
-    """The `need`-th smallest hash of a stratum."""
-    inside = hashes.where(F.col("_h").startswith(prefix)) if prefix else hashes
-    width = len(prefix) + _DIGITS
-    counts = inside.groupBy(F.substring("_h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    seen = 0
-    for row in sorted(counts.collect(), key=lambda r: r["p"]):
-        if seen + row["n"] < need:
-            seen += row["n"]
-            continue
-        if width >= 32 or row["n"] == 1:
-            return row["p"].ljust(32, "f")
-        need, prefix = need - seen, row["p"]
-        break
-    few = hashes.where(F.col("_h").startswith(prefix)).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    rows = few.limit(_SMALL + 1).collect()
-    if len(rows) > _SMALL:
-        return _cut(hashes, need, prefix)
-    seen = 0
-    for row in sorted(rows, key=lambda r: r["_h"]):
-        seen += row["n"]
-        if seen >= need:
-            return row["_h"]
-    raise AssertionError("a stratum is smaller than its own count")
-
-
 def stratified_rule(
     df: DataFrame, label: str, key: tuple[str, ...], test_share: float = 0.2, seed: int = 42
 ) -> SplitRule:
     """Cut-offs that put round(test_share * n) rows of each label value in the test part."""
-    sizes = {row[label]: row["n"] for row in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"{label} has more than {MAX_LABELS} values")
+    sizes = {row[label]: row["n"] for row in counts}
     if None in sizes:
         raise ValueError(f"{sizes[None]} rows have no {label}; label or drop them first")
     small = [value for value, n in sizes.items() if n < 2]
     if small:
         raise ValueError(f"each label value needs two rows or more; too few for {small}")
-    hashes = df.select(label, row_hash(key, seed, df).alias("_h"))
-    cuts = {}
-    for value, n in sizes.items():
-        need = int(n * test_share + 0.5)
-        if need:
-            cuts[value] = _cut(hashes.where(F.col(label) == value).select("_h"), need)
+    place = F.conv(F.substring(row_hash(key, seed, df), 1, _DIGITS), 16, 10).cast("double")
+    # The places are searched several times and are two columns, whatever the table has.
+    with staged(df.select(F.col(label).alias("_label"), place.alias("_place")), "places") as places:
+        found = shares(places, "_place", test_share, ["_label"]).collect()
+    cuts = {row["_label"]: f"{int(row['value']):0{_DIGITS}x}".ljust(32, "f") for row in found}
     return SplitRule(label, tuple(key), seed, cuts)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-# The ordered model inputs; the order is part of the model contract.
+# Field names and order of the messages (EVENT, TRADE) and of the model's inputs.
 FEATURES = [
     "z_score_price",
     "z_score_log_return",

@@ -1,6 +1,6 @@
 """Event sources: message topics or text files, batch or stream, decoded from JSON."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +24,15 @@ def kafka_options(servers: str, topic: str, starting: str = "latest",
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str, starting: str = "latest",
                    max_offsets: int = MAX_OFFSETS_PER_TRIGGER) -> DataFrame:
-    """Messages of a topic as a stream; event_id is the offset, which orders messages within a partition."""
+    """Messages of a topic as a stream, with an event_id that no other message has (see `message_id`)."""
     options = kafka_options(servers, topic, starting, max_offsets)
     raw = spark.readStream.format("kafka").options(**options).load()
-    return raw.select("value", F.col("offset").alias("event_id"))
+    return raw.select("value", message_id("partition", "offset").alias("event_id"))
+
+
+def message_id(partition, offset) -> Column:
+    """Partition and offset in one BIGINT (15 and 48 bits): unique in a topic, and in order of arrival within a partition."""
+    return F.shiftleft(F.col(partition).cast("bigint"), 48) + F.col(offset)
 
 
 def text_messages(spark: SparkSession, path: str) -> DataFrame:

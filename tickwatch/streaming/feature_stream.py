@@ -22,14 +22,17 @@ def start_feature_stream(
     checkpoint: str,
     window: str = WINDOW,
     watermark: str = WATERMARK,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] | None = None,
     extra: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Run messages -> features -> feature store; restarts continue from the checkpoint.
 
-    A `ProgressLog` around it keeps what its micro-batches report.
+    Messages that come with an event_id keep it (`keep`), so that ties of event time
+    have a last one. A `ProgressLog` around it keeps what its micro-batches report.
     """
+    if keep is None:
+        keep = tuple(c for c in ("event_id",) if c in messages.columns)
     events = observed(decode_events(messages, keep, extra))
     writer = feature_sink(stream_features(events, window, watermark), path, checkpoint)
     if available_now:
