@@ -3,8 +3,8 @@ import hashlib
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
-from test_golay import brute_components, brute_fingerprint
 from test_line_runs import brute as brute_lines
+from test_near_copies import brute_groups
 
 from tests_llm_helpers import rows_of
 from tickwatch.llm import nb_svm, queries, spaced_seeds, tree_bpe
@@ -19,11 +19,7 @@ def test_run_against_plain_python(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if scores[r["doc_id"]] >= 0.3}
     ids = sorted(texts)
     texts = {i: kept for i, (_, _, kept) in zip(ids, brute_lines([texts[i] for i in ids], 10))}
-    roots = brute_components([brute_fingerprint(texts[i]) for i in ids])
-    first = {}
-    for i, root in zip(ids, roots):
-        first.setdefault(root, i)
-    ids = sorted(first.values())
+    ids = sorted(set(brute_groups([(i, texts[i]) for i in ids]).values()))
     left = spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string")
     gone = {r["doc_id"] for r in spaced_seeds.contamination(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert gone
