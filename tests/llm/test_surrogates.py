@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from tests_llm_helpers import rows_of
 from tickwatch.llm import queries, surrogates
 
@@ -71,3 +72,50 @@ def test_query_leaves_no_entity_and_clean_documents_alone(spark):
 def test_odd_rows(spark, documents, odd_rows):
     assert surrogates.surrogate_texts(documents(odd_rows), "k").count() == 0
     assert surrogates.surrogate_texts(documents([]), "k").count() == 0
+
+
+def texts_of(spark, documents, texts):
+    out = surrogates.surrogate_texts(documents(list(enumerate(texts))), "k").collect()
+    return {r["doc_id"]: r["text"] for r in out}
+
+
+@pytest.mark.parametrize("text", [
+    "aB3+/._%-" * 120_000, "a@b" + ".c" * 20_000, "a@" + "x" * 1_000_000, "123-456-" * 130_000, "1.2.3.4." * 130_000,
+    "DE12 " * 200_000, "@" * 1_000_000, "Mr " * 300_000, "+1" * 500_000, "1234 " * 200_000, "Ä" * 1_000_000, "x.y@" * 250_000])
+def test_a_megabyte_of_anything_takes_seconds(spark, documents, text):
+    import time
+
+    start = time.time()
+    texts_of(spark, documents, [text])
+    assert time.time() - start < 30
+
+
+def test_an_address_right_behind_a_number(spark, documents):
+    out = texts_of(spark, documents, ["call 555 123 4567joe@site.com now", "a@b..c d@e.fg"])
+    assert "joe" not in out[0] and "site.com" not in out[0] and "4567" not in out[0]
+    assert out[1].startswith("a@b..c ") and "e.fg" not in out[1]
+
+
+def test_crowded_formats_grow(spark, documents):
+    boxes = [f"{c}@tiny.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    names = [f"Mrs Anna {a}{b}" for a in ("Xa", "Ye", "Zo") for b in "bcdfghklmn"]
+    out = texts_of(spark, documents, [f"mail {b} please" for b in boxes] + [f"met {n} there" for n in names])
+    mails = [out[i].split()[1] for i in range(26)]
+    assert len(set(mails)) == 26 and len({m.split("@")[1] for m in mails}) == 1
+    assert len({out[26 + i] for i in range(30)}) == 30
+
+
+def test_domains_stay_apart(spark, documents):
+    out = texts_of(spark, documents, [f"a{i % 3}@site{i}.com b@site{i // 2}.com" for i in range(60)])
+    domains = {}
+    for i, text in out.items():
+        for old, new in zip((f"site{i}.com", f"site{i // 2}.com"), text.split()):
+            assert domains.setdefault(old, new.split("@")[1]) == new.split("@")[1]
+    assert len(set(domains.values())) == len(domains) == 60
+
+
+def test_greek_names_stay_greek(spark, documents):
+    out = texts_of(spark, documents, ["Mrs Ελένη Παπαδάκη spoke", "Mrs Anna spoke"])
+    given, surname = out[0].split()[1:3]
+    assert given != "Ελένη" and surname != "Παπαδάκη"
+    assert all("\u0370" <= ch <= "\u03ff" for ch in given + surname)

@@ -8,16 +8,19 @@ sha256(key, attempt, value):
 * digits become digits and letters become letters of the same case, script and
   place, so that separators, lengths and formats stay; card numbers keep their
   first digit and pass the Luhn check, IP parts stay below 256, mail domains
-  become subdomains of example.org;
+  become subdomains of example.org, one for each;
 * names are replaced token by token, given names by given names of the gender the
   form of address shows, so "Mrs Anna Berg" and "Mrs Berg" stay one person; the
   syllables come from the script of the name.
 
 A candidate is refused if it equals a real value of the table or another value's
 candidate; the refused values try again with the next attempt. So different
-values never share a surrogate. `key` is a secret of the caller.
+values of a kind never share a surrogate; names and addresses grow after a few attempts, so
+that there is always room. `key` is a secret of the caller.
 
-Null and empty texts have no entities. A row is a document; null ids are kept.
+Null and empty texts have no entities. A row is a document; null ids and repeated rows
+are kept, further columns are ignored, an empty table gives no rows. Patterns read a text
+of any length a bounded number of times.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -26,14 +29,16 @@ from pyspark.sql import functions as F
 from tickwatch.llm.common import let
 from tickwatch.session import stage
 
-# What is detected, in order of preference where several match at one place.
+# What is detected, in order of preference where several match at one place. Each pattern reads a text
+# a bounded number of times: an address starts where its run of characters does (or where the last entity ended) and
+# gives nothing back, a domain has 127 labels at most, and looks ahead pass separators only.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
+    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.*+\d)",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?![\d.-]*\d)|\+\d{9,14}(?!\d)",
+    "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?![.-]*+\d)|\+\d{9,14}(?!\d)",
     "name": r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.?"
             r" \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
@@ -47,7 +52,12 @@ SYLLABLES = {
     "cyrillic": ("ба бе бо да де до га ка ке ко ла ле ло ма ме мо на не но па ра ре ро са се со та те то ви ли".split(),
                  {"f": "ла на ра са та вия лия ния".split(), "m": "ро но до мир тон рик лас берт".split(),
                   "s": "берг даль форд хольм лунд монт стад вик".split()}),
+    "greek": ("βα βε βο γα γε γο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε το φα".split(),
+              {"f": "λα να ρα σα τα βια λια νια".split(), "m": "ρος νος δος μος τας ριος λης νης".split(),
+               "s": "ιδης ακης πουλος ογλου εας ατος ινος αλης".split()}),
 }
+# From this attempt on names and mail boxes grow by a syllable or a letter per attempt, so that room is never short.
+GROWS_FROM = 2
 MAX_ROUNDS = 40
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -108,15 +118,23 @@ def _luhn(card: Column) -> Column:
                     F.pmod(10 - total % 10, F.lit(10)).cast("string"))
 
 
+def _growth(attempt: Column) -> Column:
+    """One number for each syllable or letter that an attempt adds."""
+    more = attempt - GROWS_FROM + 1
+    return F.when(more > 0, F.sequence(F.lit(1), F.greatest(more, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
 def _name(token: Column, kind: str, key: str, attempt: Column) -> Column:
     def of(script: str) -> Column:
         middle, ends = SYLLABLES[script]
         parts = let(_digest(key, attempt, F.lit(kind), F.lower(token)), lambda d: F.concat(
             *[_pick(middle, _number(d, 2 * i) * 256 + _number(d, 2 * i + 1)) for i in range(3)],
+            F.array_join(F.transform(_growth(attempt), lambda i: _pick(middle, _number(d, i + 10))), ""),
             _pick(ends[kind], _number(d, 9))))
         return F.when(token == F.upper(token), F.upper(parts)).otherwise(F.initcap(parts))
 
-    return F.when(token.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+    return (F.when(token.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(token.rlike(r"\p{IsGreek}"), of("greek"))
+            .otherwise(of("latin")))
 
 
 def candidate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
@@ -128,28 +146,31 @@ def candidate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
 
     shape = _same_shape(value, key, attempt)
     card = _luhn(F.concat(value.substr(1, 1), shape.substr(F.lit(2), F.length(value))))
-    email = F.concat(_same_shape(F.substring_index(value, "@", 1), key, attempt), F.lit("@h"),
-                     _digest(key, F.substring_index(value, "@", -1)).substr(1, 6), F.lit(".example.org"))
+    more = F.array_join(F.transform(_growth(attempt), lambda i: F.char(_number(_digest(key, attempt, value), i) % 26 + 97)), "")
+    email = F.concat(_same_shape(F.substring_index(value, "@", 1), key, attempt), more)
+    domain = F.concat(F.lit("h"), _digest(key, attempt, F.lit("domain"), value).substr(1, 6), more, F.lit(".example.org"))
     iban = F.concat(value.substr(1, 2), shape.substr(F.lit(3), F.length(value)))
     # A number keeps its country.
     country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-])", 0)
     phone = F.concat(country, shape.substr(F.length(country) + 1, F.length(value)))
-    return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip(shape)).when(kind == "card", card)
+    return (F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "phone", phone).when(kind == "ip", ip(shape)).when(kind == "card", card)
             .when(kind == "iban", iban).when(kind == "name f", _name(value, "f", key, attempt))
             .when(kind == "name m", _name(value, "m", key, attempt)).when(kind == "name s", _name(value, "s", key, attempt))
             .otherwise(shape))
 
 
 def parts_of(entity: Column) -> Column:
-    """The values of an entity that get a surrogate each: itself, or the tokens of a name with their roles."""
+    """The values of an entity that get a surrogate each: itself, the tokens of a name with their roles, box and domain of an address."""
     def of(e: Column) -> Column:
         title = F.regexp_replace(F.regexp_extract(e, ADDRESS, 1), r"\.$", "")
         tokens = F.split(F.regexp_replace(e, ADDRESS, ""), " ")
         gender = F.when(title.isin(*FEMALE), F.lit("name f")).otherwise(F.lit("name m"))
         named = F.transform(tokens, lambda t, i: F.struct(
             F.when(i == F.size(tokens) - 1, F.lit("name s")).otherwise(gender).alias("kind"), t.alias("value")))
-        return let(kind_of(e), lambda k: F.when(k == "name", named).otherwise(
-            F.array(F.struct(k.alias("kind"), F.when(k == "email", F.lower(e)).otherwise(e).alias("value")))))
+        mail = F.array(F.struct(F.lit("email").alias("kind"), F.lower(e).alias("value")),
+                       F.struct(F.lit("domain").alias("kind"), F.lower(F.substring_index(e, "@", -1)).alias("value")))
+        return let(kind_of(e), lambda k: F.when(k == "name", named).when(k == "email", mail).otherwise(
+            F.array(F.struct(k.alias("kind"), e.alias("value")))))
 
     return let(entity, of)
 
@@ -187,8 +208,10 @@ def surrogate_texts(docs: DataFrame, key: str) -> DataFrame:
     named = assign(parts, key)
     whole = (parts.join(stage(named, "surrogates"), ["kind", "value"]).groupBy("row", "at").agg(
         F.array_sort(F.collect_list(F.struct("n", "kind", "surrogate"))).alias("tokens"))
-        .select("row", F.struct("at", F.split_part(F.col("tokens")[0]["kind"], F.lit(" "), F.lit(1)).alias("kind"), F.array_join(
-            F.transform("tokens", lambda t: t["surrogate"]), " ").alias("surrogate")).alias("new")))
+        .withColumn("kind", F.split_part(F.col("tokens")[0]["kind"], F.lit(" "), F.lit(1)))
+        .withColumn("made", F.transform("tokens", lambda t: t["surrogate"]))
+        .select("row", F.struct("at", "kind", F.when(F.col("kind") == "email", F.array_join("made", "@")).otherwise(
+            F.array_join("made", " ")).alias("surrogate")).alias("new")))
     # As long as the document's own entities.
     new = whole.groupBy("row").agg(F.array_sort(F.collect_list("new")).alias("new"))
 
