@@ -1,16 +1,18 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of at least 16 characters of `A-Za-z0-9_+/-` with a digit.
+Candidates are the values assigned to a secret's name, of any length and alphabet; keys of
+known formats; and runs of at least 16 characters of `A-Za-z0-9_+/-` with a digit.
 Features: length; shares of digits, capitals and hex digits, entropy; changes of
-character class and the mean surprise of a change under the counts of changes in
-all texts' words; share of characters covered by dictionary words; hints in the
+character class; the mean surprise of a change of characters under the counts of such
+changes in all texts; share of characters covered by dictionary words; hints in the
 path; words next to the candidate. A random forest is fitted on labelled
 findings and scores every candidate.
 
-Null and empty texts have no candidates; a null path gives no hint. Repeated rows
+Null and empty texts have no candidates; a null path gives no hint, null ids are kept. Repeated rows
 give repeated findings. Without labelled findings of both classes every score is
 the share of secrets among the labelled (0.5 if none). Candidates themselves are
-not returned, only their place and sha256.
+not returned, only their place and sha256. An empty table gives no rows, further columns
+are ignored, and every pattern reads a text of any length a bounded number of times.
 """
 
 import hashlib
@@ -29,16 +31,41 @@ from pyspark.sql import functions as F
 from tickwatch.llm.common import words_of
 from tickwatch.session import ship_package, stage
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}={0,2}")
 # Words that announce a secret, and path parts of material that only looks like one.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "credential", "auth")
 HARMLESS_WORDS = ("example", "sample", "dummy", "placeholder", "checksum", "sha256", "commit", "uuid", "card", "order")
 HARMLESS_PATHS = ("test", "example", "doc", "fixture", "mock", "sample")
+# Shapes of material that is no secret, and what stands before such material.
+HARMLESS_SHAPE = re.compile(r"[0-9]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+HARMLESS_BEFORE = re.compile(r"(?i)(?:commit|checksum|sha-?\d+|md5|digest|etag|revision|blob|uuid|integrity|order|invoice)\W{0,12}$")
+KEY = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{36}|xox[abp]-[\w-]+|sk_live_\w{16,}|AIza[\w-]{35}")
+# The value of an assignment ends at its quote, or else at white space or a separator.
+_NAME = r"(?:" + "|".join(SECRET_WORDS) + r")"
+_RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
+CANDIDATE = re.compile(
+    rf"(?i:{_NAME}\w{{0,40}}+[\"']?[ \t]*+(?:=>|:=|[=:])[ \t]*+)"
+    rf"(?:\"(?P<double>[^\"\n]++)\"|'(?P<single>[^'\n]++)'|(?P<plain>[^\s\"',;]++))"
+    rf"|(?P<key>(?<![A-Za-z0-9_-])(?:{KEY.pattern}))|(?P<run>{_RUN})")
+ASSIGNED = ("double", "single", "plain")
 DICTIONARY = 5_000
 MAX_ROWS = 50_000
 NEAR = 48
 CUT = 0.5
 _CLASSES = 5
+# Printable ASCII and one more for all other bytes.
+_BYTES = 96
+
+
+def found(text: str) -> Iterator[tuple[int, str, bool]]:
+    """(start, value, whether it is assigned to a secret's name) of every candidate."""
+    for m in CANDIDATE.finditer(text):
+        kind = m.lastgroup
+        yield m.start(kind), m.group(kind), kind in ASSIGNED
+
+
+def byte_kinds(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8).astype(np.int64) - 32
+    return np.where((raw < 0) | (raw >= _BYTES - 1), _BYTES - 1, raw)
 
 
 def character_classes(text: str) -> np.ndarray:
@@ -59,27 +86,30 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 
 
 def transitions(docs: DataFrame) -> np.ndarray:
-    """Log probability of each change between character classes inside the words of all texts."""
+    """Log probability of each change from one character to the next in all texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(_CLASSES * _CLASSES, dtype=np.int64)
+        total = np.zeros(_BYTES * _BYTES, dtype=np.int64)
         for pdf in batches:
             for text in pdf["text"].dropna():
-                c = character_classes(text)
-                total += np.bincount(c[:-1].astype(np.int64) * _CLASSES + c[1:], minlength=_CLASSES * _CLASSES)
-        yield pd.DataFrame({"pair": np.arange(len(total)), "n": total})
+                c = byte_kinds(text)
+                total += np.bincount(c[:-1] * _BYTES + c[1:], minlength=_BYTES * _BYTES)
+        pair = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": pair, "n": total[pair]})
 
+    # At most 96 * 96 rows.
     rows = docs.select("text").mapInPandas(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    n = np.ones((_CLASSES, _CLASSES))
+    n = np.ones((_BYTES, _BYTES))
     for r in rows:
-        n[r["pair"] // _CLASSES, r["pair"] % _CLASSES] += r["n"]
+        n[r["pair"] // _BYTES, r["pair"] % _BYTES] += r["n"]
     return np.log(n / n.sum(axis=1, keepdims=True))
 
 
 def features(candidate: str, before: str, after: str, path: str | None, log_change: np.ndarray,
              known: set[str]) -> list[float]:
-    classes = character_classes(candidate)
+    classes, kinds = character_classes(candidate), byte_kinds(candidate)
     n, share = len(candidate), lambda k: float((classes == k).mean())
+    changes = max(1, len(kinds) - 1)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(candidate).values())
     lower, covered, i = candidate.lower(), 0, 0
     while i < n:
@@ -90,7 +120,7 @@ def features(candidate: str, before: str, after: str, path: str | None, log_chan
     last = re.findall(r"[a-z_]+", near_before)[-2:]
     return [
         float(n), share(0), share(1) + share(0), share(3), share(4), entropy,
-        float((classes[1:] != classes[:-1]).mean()), float(-log_change[classes[:-1], classes[1:]].mean()),
+        float((classes[1:] != classes[:-1]).sum() / changes), float(-log_change[kinds[:-1], kinds[1:]].sum() / changes),
         covered / n, float(any(p in path for p in HARMLESS_PATHS)), float(path.count("/")),
         float(any(s in w for w in last for s in SECRET_WORDS)), float(any(s in near_before for s in SECRET_WORDS)),
         float(any(s in near_before or s in after.lower() for s in HARMLESS_WORDS)),
@@ -101,7 +131,8 @@ def candidates(docs: DataFrame, path_col: str | None = "source") -> DataFrame:
     """doc_id, start, length, sha256, x (features), guess for every candidate of every whole text.
 
     guess is what fixed formats say: 1 for a known key prefix or an assignment to a
-    secret's name, 0 for digits alone, otherwise null.
+    secret's name, 0 for digits alone, UUIDs and what is called a commit, checksum or the
+    like, otherwise null.
     """
     ship_package(docs.sparkSession)
     path = docs[path_col].cast("string") if path_col else F.lit(None).cast("string")
@@ -112,23 +143,21 @@ def candidates(docs: DataFrame, path_col: str | None = "source") -> DataFrame:
         for pdf in batches:
             out = []
             for doc_id, text, path in zip(pdf["doc_id"], pdf["text"], pdf["path"]):
-                for m in CANDIDATE.finditer(text or ""):
-                    before, after = text[max(0, m.start() - NEAR):m.start()], text[m.end():m.end() + NEAR]
-                    value = m.group(0)
-                    out.append((doc_id, m.start(), len(value), hashlib.sha256(value.encode()).hexdigest(),
-                                features(value, before, after, path, log_change, known), guess(value, before)))
+                for start, value, assigned in found(text or ""):
+                    end = start + len(value)
+                    before, after = text[max(0, start - NEAR):start], text[end:end + NEAR]
+                    out.append((doc_id, start, len(value), hashlib.sha256(value.encode()).hexdigest(),
+                                features(value, before, after, path, log_change, known), guess(value, before, assigned)))
             frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "sha256", "x", "guess"])
             yield frame.astype({"doc_id": "Int64", "guess": "Int32"})
 
     return rows.mapInPandas(find, "doc_id long, start int, length int, sha256 string, x array<double>, guess int")
 
 
-def guess(value: str, before: str) -> int | None:
-    if re.fullmatch(r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{36}|xox[abp]-[\w-]+", value):
-        return 1
-    if re.search(r"(?i)(?:" + "|".join(SECRET_WORDS) + r")\w*\s*[=:]\s*[\"']?$", before):
+def guess(value: str, before: str, assigned: bool = False) -> int | None:
+    if KEY.fullmatch(value) or assigned:
         return 1
-    return 0 if value.isdigit() else None
+    return 0 if HARMLESS_SHAPE.fullmatch(value) or HARMLESS_BEFORE.search(before) else None
 
 
 def scan(docs: DataFrame, path_col: str | None = "source", findings: DataFrame | None = None,
@@ -136,8 +165,8 @@ def scan(docs: DataFrame, path_col: str | None = "source", findings: DataFrame |
     """doc_id, start, length, sha256, label, score, is_secret for every candidate.
 
     findings: doc_id, start, label (1 for a secret) as people labelled them; without
-    it the fixed formats label what they can. About `max_rows` labelled findings,
-    drawn by a hash, fit the forest.
+    it the fixed formats label what they can. About `max_rows` labelled findings, half
+    of them of either class where there are so many, are drawn by a hash and fit the forest.
     """
     rows = candidates(docs, path_col)
     if findings is None:
@@ -155,8 +184,9 @@ def scan(docs: DataFrame, path_col: str | None = "source", findings: DataFrame |
         score = F.lit(float(next(iter(sizes), 0.5)))
         out = out.withColumn("score", score)
     else:
-        share = min(1.0, max_rows / sum(sizes.values()))
-        sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        draw = F.shiftrightunsigned(F.xxhash64("doc_id", "start", "sha256"), 11) / F.lit(float(1 << 53))
+        share = F.when(F.col("label") == 1, max_rows / 2 / sizes.get(1, 1)).otherwise(max_rows / 2 / sizes.get(0, 1))
+        sample = labelled.filter(draw < share)
         forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
         model = forest.fit(sample.select("label", "features"))
         out = model.transform(out).withColumn("score", vector_to_array("probability")[1])
