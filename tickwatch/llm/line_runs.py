@@ -8,9 +8,14 @@ the next level, so a store of n batches has about fanout * log(n) runs. With
 `limit=1` a store keeps first occurrences: the anti-join then lets through only
 lines no earlier batch had.
 
+The number of buckets follows from the number of keys of the corpus and is the same
+for all its runs. Runs that were merged are dropped with the next batch, all others when
+the store is closed: neither tables nor files stay.
+
 Keys are 128-bit hashes of a line stripped of ASCII white space with A-Z in
 lower case. A row of the table is a document; repeated rows count each. Null and
-empty texts are one empty line. A null doc_id is an id like any other.
+empty texts are one empty line. A null doc_id is an id like any other. Long texts are
+split whole; further columns are passed on or ignored; an empty table gives no rows.
 """
 
 import uuid
@@ -24,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwatch.llm.common import SPACES, id_key, slices, texts
-from tickwatch.session import scratch_path, ship_package, stage
+from tickwatch.session import delete_path, scratch_path, ship_package, stage
 
 BATCHES = 4
 FANOUT = 3
-BUCKETS = 16
+# At least so many buckets; more where one would hold more keys than this.
+BUCKETS, BUCKET_KEYS = 16, 2_000_000
 MIN_DOCS = 10
 _SPACES = SPACES.encode()
 
@@ -64,31 +70,53 @@ def document_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
 
 class Run(NamedTuple):
-    """A bucketed table and the folder of its files."""
+    """A bucketed table, its name and the folder of its files."""
 
     table: DataFrame
+    name: str
     path: str
 
 
+def bucket_count(keys: int) -> int:
+    return max(BUCKETS, -(-keys // BUCKET_KEYS))
+
+
 class LineRuns:
-    """The runs of one corpus, level by level."""
+    """The runs of one corpus, level by level; a context that drops them at its end."""
 
     def __init__(self, spark: SparkSession, limit: int, fanout: int = FANOUT, buckets: int = BUCKETS):
         self.spark, self.limit, self.fanout, self.buckets = spark, limit, fanout, buckets
         self.levels: list[list[Run]] = []
+        # Merged runs: plans that read them may still be in use until the next batch.
+        self.merged: list[Run] = []
+
+    def __enter__(self) -> "LineRuns":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._drop([run for level in self.levels for run in level])
+        self._drop(self.merged)
+        self.levels, self.merged = [], []
+
+    def _drop(self, runs: list[Run]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
+            delete_path(self.spark, run.path)
 
     def _write(self, rows: DataFrame) -> Run:
         name, path = f"line_run_{uuid.uuid4().hex}", scratch_path(self.spark, "line-run")
         (rows.repartition(self.buckets, "line_key").write.format("parquet")
          .option("path", path)
          .bucketBy(self.buckets, "line_key").sortBy("line_key").saveAsTable(name))
-        return Run(self.spark.table(name), path)
+        return Run(self.spark.table(name), name, path)
 
     def runs(self) -> list[DataFrame]:
         return [run.table for level in self.levels for run in level]
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Count a batch of keys (column line_key) and return the run it added."""
+        """Count a batch of keys (column line_key) and return the run it added, good until the next batch."""
+        self._drop(self.merged)
+        self.merged = []
         batch = keys.groupBy("line_key").agg(F.count(F.lit(1)).alias("docs"))
         for run in self.runs():
             full = run.filter(F.col("docs") >= self.limit).select("line_key")
@@ -107,6 +135,7 @@ class LineRuns:
             if i + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[i + 1].append(self._write(self._total(level)))
+            self.merged += level
             level.clear()
 
     def _total(self, runs: list[Run]) -> DataFrame:
@@ -128,12 +157,12 @@ def frequent_line_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     """doc_id and the distinct keys, among its own, that at least `min_docs` documents have."""
     keys = stage(document_keys(docs, min_chars).withColumn(
         "batch", F.pmod(F.xxhash64(id_key("doc_id")), F.lit(batches))), "line-keys")
-    store = LineRuns(docs.sparkSession, min_docs)
-    for i in range(batches):
-        store.add(keys.filter(F.col("batch") == i).select("line_key"))
-    # A key that a third of all documents have makes a large partition of this join. It is split at run time,
-    # which needs two plain exchanges below the join; so the frequent keys are written first.
-    frequent = stage(store.frequent(), "frequent-lines")
+    with LineRuns(docs.sparkSession, min_docs, buckets=bucket_count(keys.count())) as store:
+        for i in range(batches):
+            store.add(keys.filter(F.col("batch") == i).select("line_key"))
+        # A key that a third of all documents have makes a large partition of the join below. It is split at run
+        # time, which needs two plain exchanges below the join; so the frequent keys are written first.
+        frequent = stage(store.frequent(), "frequent-lines")
     return (keys.join(frequent, "line_key")
             .groupBy(id_key("doc_id").alias("id")).agg(F.collect_set("line_key").alias("frequent")))
 
