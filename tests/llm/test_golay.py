@@ -68,6 +68,18 @@ def test_any_three_errors_meet_in_a_key():
     assert all(x & y for x, y in zip(left, right))
 
 
+def test_candidates_of_unrelated_fingerprints_are_few():
+    """Fewer than one pair in ten million meets in a key: candidates stay few as fingerprints grow."""
+    for n in (20_000, 80_000):
+        fps = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+        _, left, _, right = golay.golay_keys(fps)
+        at, counts = np.unique(left, return_counts=True)
+        more, others = np.unique(right, return_counts=True)
+        _, i, j = np.intersect1d(at, more, return_indices=True)
+        # Every fingerprint meets itself: in 3 exact keys, 6 mixed ones and the nearest codewords.
+        assert 10 * n <= (counts[i] * others[j]).sum() < 10 * n + n * n * 1e-7
+
+
 def test_query_against_all_pairs(spark, small):
     out = {r["doc_id"]: r for r in queries.QUERIES["op3_simhash_components"](spark, SMALL).collect()}
     ids = sorted(small)

@@ -2,16 +2,17 @@
 
 The (23, 12, 7) Golay code is perfect: every 23-bit word is within 3 bits of
 exactly one codeword. A 64-bit fingerprint is cut into three segments of 22, 21
-and 21 bits, each read as a 23-bit word. Two fingerprints at 3 bits or fewer have
-two segments with at most one error each, since the two smallest of three
-non-negative numbers with a sum of 3 or less are at most 1.
-
-A segment gives its nearest codeword, and as a list all codewords within 4 bits:
-one, or six where the nearest is 3 bits away. A word with one bit changed has the
-nearest codeword of the other within 4 bits, hence in its list. So for each two
-segments the left side of the join carries (nearest, list) and the right side
-(list, nearest): two errors, one in each segment, always meet in a common key of
-24 bits. Hits are then verified by counting differing bits.
+and 21 bits, each read as a 23-bit word. A segment gives its nearest codeword, and as
+a list all codewords within 4 bits: one, or six where the nearest is 3 bits away. A
+word with one bit changed has the nearest codeword of the other within 4 bits, hence
+in its list.
+
+Three or fewer differing bits lie in the segments in one of three ways: none in two of
+them; none in one and at most one in another; or one in each. So two fingerprints at 3
+bits or fewer share two exact segments (at least 42 bits), or an exact segment and a
+codeword of another (33 bits), or codewords of all three (36 bits). One side of the
+join carries nearest codewords where the other carries lists. Candidates are few at
+any size, as keys are long; they are verified by counting differing bits.
 """
 
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ SHINGLE = 3
 _POLY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _PAIRS = ((0, 1), (0, 2), (1, 2))
+_ORDERED = _PAIRS + tuple((j, i) for i, j in _PAIRS)
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -68,19 +70,29 @@ def codewords(words: np.ndarray) -> np.ndarray:
     return np.where(errors >= 0, (words.astype(np.int64)[:, None] ^ errors) >> 11, -1)
 
 
+def _combined(kind: int, *parts: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all combinations of the parts (rows by choices, bits), without those that lack a codeword (-1)."""
+    key = np.full((len(parts[0][0]), 1), kind, dtype=np.int64)
+    for part, bits in parts:
+        first, second = key[:, :, None], part[:, None, :]
+        key = np.where((first >= 0) & (second >= 0), first << bits | second, -1).reshape(len(key), -1)
+    row, column = np.nonzero(key >= 0)
+    return row, key[row, column]
+
+
 def golay_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key) of the left and of the right side of the join; keys have 26 bits."""
+    """(row, key) of the left and of the right side of the join; keys are longs of disjoint ranges per kind."""
     fp = fingerprints.astype(np.uint64)
-    lists = [codewords((fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in _SEGMENTS]
-    left_rows, left_keys, right_rows, right_keys = [], [], [], []
-    for which, (i, j) in enumerate(_PAIRS):
-        for rows, keys, first, second in ((left_rows, left_keys, lists[i][:, :1], lists[j]),
-                                          (right_rows, right_keys, lists[i], lists[j][:, :1])):
-            key = np.where((first >= 0) & (second >= 0), which << 24 | first << 12 | second, -1)
-            row, column = np.nonzero(key >= 0)
-            rows.append(row)
-            keys.append(key[row, column])
-    return tuple(np.concatenate(x) for x in (left_rows, left_keys, right_rows, right_keys))
+    exact = [((fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)[:, None], 22) for at, n in _SEGMENTS]
+    lists = [(codewords(segment[:, 0]), 12) for segment, _ in exact]
+    nearest = [(codes[:, :1], bits) for codes, bits in lists]
+    left = [_combined(8 + k, exact[i], exact[j]) for k, (i, j) in enumerate(_PAIRS)]
+    right = list(left)
+    left += [_combined(16 + k, exact[i], nearest[j]) for k, (i, j) in enumerate(_ORDERED)]
+    right += [_combined(16 + k, exact[i], lists[j]) for k, (i, j) in enumerate(_ORDERED)]
+    left.append(_combined(24, nearest[0], nearest[1], lists[2]))
+    right.append(_combined(24, lists[0], lists[1], nearest[2]))
+    return tuple(np.concatenate(x) for side in (left, right) for x in zip(*side))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -116,7 +128,7 @@ def _keys(side: int):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             rows, keys = golay_keys(fp.view(np.uint64))[2 * side:2 * side + 2]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fp[rows])], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", "fp"])
 
     return of
 
@@ -126,8 +138,8 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the code answers up to 3 differing bits")
     ship_package(fps.sparkSession)
-    left = fps.select("fp").mapInArrow(_keys(0), "key int, fp long").withColumnRenamed("fp", "a")
-    right = fps.select("fp").mapInArrow(_keys(1), "key int, fp long").withColumnRenamed("fp", "b")
+    left = fps.select("fp").mapInArrow(_keys(0), "key long, fp long").withColumnRenamed("fp", "a")
+    right = fps.select("fp").mapInArrow(_keys(1), "key long, fp long").withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     return left.join(right, "key").filter(near).select("a", "b").distinct()
 
