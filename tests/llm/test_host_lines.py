@@ -1,7 +1,9 @@
 from collections import Counter
 
+import duckdb
+
 from tests_llm_helpers import rows_of
-from tickwatch.llm import host_lines, queries
+from tickwatch.llm import host_lines, oracle, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,6 +32,16 @@ def test_query_against_counts(spark, small):
     assert any(r["n_repeat_words"] for r in out.values())
 
 
+def test_query_against_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    out = queries.QUERIES["op2_host_lines"](spark, SMALL)
+    expected = db.sql(oracle.oracle_sql()["op2_host_lines"])
+    assert sorted(out.columns) == sorted(expected.columns)
+    rows = sorted(str(tuple(r)) for r in out.select(*expected.columns).collect())
+    assert rows == sorted(map(str, expected.fetchall()))
+
+
 def test_lines_are_counted_per_host_and_depleted_documents_go(spark):
     own = [f"own words of document {i} are these " * 5 + str(i) for i in range(40)]
     rows = [(i, f"Share this  PAGE, {i}!\n" + own[i].replace("document", chr(97 + i % 26) * (i + 2)), "a") for i in range(12)]

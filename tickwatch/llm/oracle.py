@@ -20,6 +20,41 @@ GROUP BY doc_id
 """
 
 
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+
+OP2 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
+split AS (SELECT *, regexp_extract_all(t, {_WORD}) AS w, string_split(t, chr(10)) AS ls FROM docs),
+grams AS (
+  SELECT row, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6),
+         lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM split WHERE len(w) >= 8),
+many AS (SELECT row, i FROM grams QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS p FROM many) GROUP BY row),
+lines AS (SELECT row, host, unnest(ls) AS line FROM split),
+plain AS (
+  SELECT row, host, len(regexp_extract_all(line, {_WORD})) AS n,
+         trim(regexp_replace(regexp_replace(lower(line), '\\p{{N}}+', '0', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k
+  FROM lines),
+frequent AS (
+  SELECT host, k FROM (SELECT DISTINCT row, host, k FROM plain WHERE k <> '') GROUP BY host, k HAVING count(*) > 10),
+removed AS (
+  SELECT row, count(*) AS n_lines, sum(n)::BIGINT AS n FROM plain JOIN frequent USING (host, k) GROUP BY row),
+counted AS (
+  SELECT split.doc_id, len(w)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         (len(list_filter(ls, lambda x: regexp_matches(x, {_WORD}))) - len(list_distinct(list_filter(ls, lambda x:
+            regexp_matches(x, {_WORD})))))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(removed.n_lines, 0) AS n_removed_lines,
+         coalesce(removed.n, 0) AS n_removed_words
+  FROM split LEFT JOIN covered USING (row) LEFT JOIN removed USING (row)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (n_words - n_removed_words) >= 0.5 * n_words AS kept, n_removed_lines, n_removed_words
+FROM judged
+"""
+
 # Inner products of doubles are exact here: the components are integers below 2**10.
 OP11 = """
 WITH v AS (
@@ -82,5 +117,5 @@ FROM walk WHERE y < total
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_runs": OP7, "op11_hard_negatives": OP11,
+    return {"op2_host_lines": OP2, "op7_line_runs": OP7, "op11_hard_negatives": OP11,
             "op13_feistel_shards": _op13(sharding.SHARDS, sharding.ROUNDS, "shards")}
