@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -19,6 +22,9 @@ from tickwatch.streaming.score_stream import start_score_stream
 from tickwatch.streaming.trade_stream import start_trade_stream
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def message(second, symbol="a", price=10.0, event_id=0):
     return json.dumps({"timestamp": second, "symbol": symbol, "price": price, "volume": 1.0, "log_return": 0.1,
                        "is_anomaly": False, "anomaly_type": None, "event_id": event_id})
@@ -233,6 +239,23 @@ def test_scratch_paths_follow_the_cluster():
     assert one != two and one.startswith("hdfs:///shared/")
 
 
+def test_intermediate_tables_end_with_the_application(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from tickwatch.session import build_session, release, stage
+spark = build_session("scratch", "local[1]", spark__ui__enabled="false", spark__checkpoint__dir={str(tmp_path)!r})
+stage(spark.range(3), "one")
+release(spark)
+import glob
+assert not glob.glob({str(tmp_path)!r} + "/tickwatch/*")
+print(stage(spark.range(3), "two").count(), len(glob.glob({str(tmp_path)!r} + "/tickwatch/*/*")))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.stdout.split()[-2:] == ["3", "1"], out.stderr
+    assert not list(tmp_path.glob("tickwatch/*"))
+
+
 def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
         shared_dir(FakeSession("spark://host:1"))

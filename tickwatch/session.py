@@ -1,5 +1,6 @@
 """Session settings, shared scratch space and lineage cutting."""
 
+import atexit
 import contextlib
 import os
 import shutil
@@ -66,9 +67,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_released_at_exit: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """The application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/tickwatch/{getattr(spark.sparkContext, 'applicationId', 'application')}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; every call gives another one."""
-    return f"{shared_dir(spark)}/tickwatch/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own folder; every call gives another one."""
+    folder = _own_dir(spark)
+    if folder not in _released_at_exit and isinstance(spark, SparkSession):
+        _released_at_exit.add(folder)
+        atexit.register(release, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the application's intermediate tables; results that read them cannot be computed any more.
+
+    Happens by itself when the driver ends with its session still running.
+    """
+    if spark.sparkContext._jsc is not None:
+        delete_path(spark, folder or _own_dir(spark))
 
 
 def is_missing(error: AnalysisException) -> bool:
