@@ -20,7 +20,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,29 +64,31 @@ def range_rows(df: DataFrame, rows_per_range: int | None = None) -> int:
 
 
 def split_points(df: DataFrame, keys: list[str], rows_per_range: int | None = None) -> list[tuple]:
-    """Split points of `keys`, from a repeatable hash sample of bounded size.
+    """Split points of `keys`, from a hash sample of bounded size.
 
-    Costs a count and one narrow pass; brings at most about
+    Costs one narrow pass that counts the rows and keeps the few with the smallest
+    hashes, and a second one where a range per core is not enough; brings at most about
     MAX_RANGES * SAMPLES_PER_RANGE short rows to the driver, which is what a
-    range partitioner does as well. Unlike a range partitioner's own sample it
-    gives the same points on every evaluation.
+    range partitioner does as well. The points become constants of the plan, so every
+    evaluation has the same ranges.
     """
-    total = df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = min(MAX_RANGES, max(cores, math.ceil(total / range_rows(df, rows_per_range))))
-    if total <= 1 or wanted <= 1:
-        return []
-    share = min(1.0, wanted * SAMPLES_PER_RANGE / total)
     plain = [_sortable(df, key)[0].alias(f"k{i}") for i, key in enumerate(keys)]
     names = [f"k{i}" for i in range(len(keys))]
-    drawn = (
-        df.select(*plain)
-        .where(F.pmod(F.xxhash64(*names), F.lit(_HASH_SPACE)) < int(share * _HASH_SPACE))
-        .distinct()
-    )
-    ordered = sorted(tuple(row) for row in drawn.collect())
+    # With the row's place in the input, so that equal keys are drawn by their number.
+    place = F.pmod(F.xxhash64(*names, "_at"), F.lit(_HASH_SPACE))
+    placed = df.select(*plain, F.monotonically_increasing_id().alias("_at"))
+    wanted = min(MAX_RANGES, df.sparkSession.sparkContext.defaultParallelism)
+    seen = Observation()
+    few = placed.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(place, *names).limit(wanted * SAMPLES_PER_RANGE)
+    drawn = {tuple(row) for row in few.select(*names).collect()}
+    total = seen.get["n"]
+    if math.ceil(total / range_rows(df, rows_per_range)) > wanted:
+        wanted = min(MAX_RANGES, math.ceil(total / range_rows(df, rows_per_range)))
+        share = min(1.0, wanted * SAMPLES_PER_RANGE / total)
+        drawn = {tuple(row) for row in placed.where(place < int(share * _HASH_SPACE)).select(*names).collect()}
+    ordered = sorted(drawn)
     # The first of `wanted` even stretches needs no point of its own.
-    return [ordered[i * len(ordered) // wanted] for i in range(1, min(wanted, len(ordered)))]
+    return [ordered[i * len(ordered) // wanted] for i in range(1, min(wanted, len(ordered)))] if total > 1 else []
 
 
 def with_range(df: DataFrame, keys: list[str], points: list[tuple]) -> DataFrame:
