@@ -28,6 +28,8 @@ from tickwatch.session import ship_package
 # Longest piece that is merged plainly; of these texts' bytes 30 % are in longer ones and go through the tree.
 LEAF = 8
 REMEMBERED = 400_000
+# The rank of what is no token.
+_NONE = 1 << 60
 _BATCH_BYTES = 4 << 20
 
 
@@ -47,20 +49,19 @@ class TreeBpe:
         """The plain algorithm, for short pieces: merge the pair of lowest rank until none is left."""
         rank = self.ranks.get
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        costs = [rank(piece[i:i + 2]) for i in range(len(piece) - 1)]
-        while True:
-            best, at = None, -1
-            for i, cost in enumerate(costs):
-                if cost is not None and (best is None or cost < best):
-                    best, at = cost, i
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        costs = [rank(piece[i:i + 2], _NONE) for i in range(len(piece) - 1)]
+        while costs:
+            best = min(costs)
+            if best == _NONE:
+                break
+            at = costs.index(best)
+            parts[at] += parts.pop(at + 1)
             del costs[at]
             if at:
-                costs[at - 1] = rank(parts[at - 1] + parts[at])
+                costs[at - 1] = rank(parts[at - 1] + parts[at], _NONE)
             if at < len(costs):
-                costs[at] = rank(parts[at] + parts[at + 1])
+                costs[at] = rank(parts[at] + parts[at + 1], _NONE)
+        return parts
 
     def _encode(self, piece: bytes) -> list[bytes]:
         if len(piece) <= self.leaf:
