@@ -44,9 +44,23 @@ class TreeBpe:
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, list[int]] = {}
+        self.short: dict[bytes, list[bytes]] = {}
 
     def _merge(self, piece: bytes) -> list[bytes]:
-        """The plain algorithm, for short pieces: merge the pair of lowest rank until none is left."""
+        """The plain algorithm, for short pieces: merge the pair of lowest rank until none is left.
+
+        Halves and windows come up again and again, so short ones are remembered.
+        """
+        parts = self.short.get(piece)
+        if parts is None:
+            parts = self._merged(piece)
+            if len(piece) <= self.leaf:
+                if len(self.short) >= self.remembered:
+                    self.short.clear()
+                self.short[piece] = parts
+        return parts
+
+    def _merged(self, piece: bytes) -> list[bytes]:
         rank = self.ranks.get
         parts = [piece[i:i + 1] for i in range(len(piece))]
         costs = [rank(piece[i:i + 2], _NONE) for i in range(len(piece) - 1)]
