@@ -191,6 +191,26 @@ def test_late_ticks_still_move_the_kept_price(spark, tmp_path):
     assert rows[None, 0.0]["rolling_price_std"] == pytest.approx(3.5355, abs=1e-3)
 
 
+def test_keyed_state_in_a_session_with_the_default_state_store(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    rows = [(i, i * 400, "ab"[i % 2], 10.0 + i) for i in range(60)]
+    schema = "event_id long, t long, symbol string, price double"
+    ticks = spark.createDataFrame(rows, schema).select(
+        "event_id", F.timestamp_seconds("t").alias("event_time"), "symbol", "price")
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("ticks", "returns", "checkpoint"))
+    try:
+        arrive(ticks, F.unix_seconds("event_time"), source, lambda: (
+            stateful_log_return(spark.readStream.schema(ticks.schema).parquet(source)).writeStream.format("parquet")
+            .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()))
+    finally:
+        spark.conf.set(name, before)
+    got = spark.read.parquet(out).select("event_id", F.round("log_return", 9))
+    want = with_log_return(ticks).select("event_id", F.round("log_return", 9))
+    assert got.count() == 60 and got.exceptAll(want).count() == 0
+
+
 def test_arrivals_come_in_order_of_time(spark, ticks, tmp_path):
     seen = []
     path = str(tmp_path / "in")

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tickwatch.functions.columns import arrival_key, log_return
 from tickwatch.operators.ordered import scan_in_order
 from tickwatch.schema import table
-from tickwatch.session import is_missing, ship_package, staged
+from tickwatch.session import is_missing, ship_package, staged, use_keyed_state
 
 STATE = table("symbol string, price double, event_time timestamp, event_id bigint")
 STORED_STATE = T.StructType(
@@ -162,8 +162,10 @@ def stateful_log_return(ticks: DataFrame, watermark: str = "1 minute", slice_sec
     next micro-batch. Event time leaves the step with a watermark of its own, set
     behind the state: a late tick still has a return and moves the last price, and
     only a window that is closed drops it. `slice_seconds` should span several ticks.
+    The state needs the RocksDB store, which the session is given if it has the default one.
     """
     ship_package(ticks.sparkSession)
+    use_keyed_state(ticks.sparkSession)
     sliced = ticks.withColumn("_slice", F.floor(F.unix_seconds("event_time") / slice_seconds))
     out = T.StructType([*ticks.schema.fields, T.StructField("previous", T.DoubleType())])
     between = T.StructType([*sliced.schema.fields, T.StructField("previous", T.DoubleType()),
