@@ -90,6 +90,25 @@ def test_near_copies_are_found_and_others_left_alone(spark, documents):
     assert set(want.values()) <= out
 
 
+def test_no_link_is_lost_at_the_threshold(spark, documents):
+    """Texts with a new end, just similar enough, and others just not."""
+    draw = random.Random(3)
+    rows = []
+    for _ in range(150):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(draw.choice([30, 60, 120]))]
+        rows.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            # New words in one stretch change few shingles but many words.
+            cut = draw.randrange(len(copy) // 12, len(copy) // 8 + 1)
+            copy[len(copy) - cut:] = [f"x{draw.randrange(10**6)}" for _ in range(cut)]
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows + [" ", "\t", "\n ", "a b", "A b", "a  B"]))
+    want = brute_groups(rows)
+    assert len(set(want.values())) < len(rows) - 100
+    assert {r["doc_id"] for r in rows_of(near_copies.one_of_each(documents(rows)))} == set(want.values())
+
+
 def test_no_similar_text_is_lost_on_the_small_table(spark, small):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     want = brute_groups(sorted(small.items()))

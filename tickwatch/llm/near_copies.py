@@ -13,6 +13,10 @@ buckets. A bucket hands on no pairs of all its members: the one closest to the b
 majority of bits is its centre and is paired with each other one (in small buckets
 all are paired). Pairs of at most `FAR` differing bits are compared shingle by shingle.
 
+What these buckets miss is found exactly: of two sets that similar, the lowest hashes of
+each, a fifth of them and one, have a hash in common (a prefix filter). Texts that share
+such a hash and are not yet in one group are compared too, so no link between groups is lost.
+
 Only distinct texts take part. Buckets and centres with very many members are cut
 into pieces of bounded size, so that no task holds a group. Null texts count as empty,
 null ids as unknown; further columns are passed on; an empty table stays empty; long
@@ -174,6 +178,25 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
 
 
+def _pass_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each hash of a text's prefix, with the number of all its hashes and the place among them."""
+    unpack = zstandard.ZstdDecompressor()
+    nothing = np.zeros(1, np.uint64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            grams = [shingles(unpack.decompress(x.as_py())) for x in part.column("text")]
+            sizes = np.array([len(g) for g in grams], np.int32)
+            # Texts without words share one hash that stands for nothing.
+            taken = [g[:len(g) - (4 * len(g) + 4) // 5 + 1] if len(g) else nothing for g in grams]
+            counts = np.array([len(g) for g in taken])
+            rows = np.repeat(np.arange(len(grams)), counts)
+            places = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(taken).view(np.int64)), *[part.column(c).take(pa.array(rows)) for c in ("v", "root")],
+                 pa.array(sizes[rows]), pa.array(places.astype(np.int32))], ["h", "v", "root", "size", "place"])
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
@@ -215,15 +238,34 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("member"), F.col("b").alias("centre")).distinct()
 
 
-def similar_pairs(nodes: DataFrame, packed: DataFrame) -> DataFrame:
-    """a, b: verified links that connect near copies; nodes (v, n, first, low, high), packed (n, id, text)."""
-    pairs = stage(candidate_pairs(nodes), "candidates")
+def _texts_of(nodes: DataFrame, packed: DataFrame, *more: str) -> DataFrame:
+    """v, text and further columns of nodes (v, n, first). By text and id: of many copies of a text only the first one's row is met."""
+    wanted = nodes.select("v", "n", id_key("first").alias("id"), *more)
+    return packed.join(wanted, ["n", "id"]).dropDuplicates(["v"]).select("v", *more, "text")
+
+
+def missed_pairs(labelled: DataFrame, packed: DataFrame) -> DataFrame:
+    """member, centre: every two texts of different groups that may be similar; labelled (v, n, first, root)."""
+    rows = _texts_of(labelled, packed, "root").mapInArrow(
+        _pass_prefixes, "h long, v long, root long, size int, place int")
+    same = Window.partitionBy("h")
+    met = stage(rows.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)})
+                .filter("lo < hi").drop("lo", "hi"), "shared")
+    x, y = (met.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("v", "root", "size", "place")]) for k in "xy")
+    # Sets of such sizes can be similar, and hashes before the first common one are in one of them only.
+    pairs = x.join(y, "h").filter(
+        "root_x < root_y and 4 * greatest(size_x, size_y) <= 5 * least(size_x, size_y)"
+        " and 9 * (place_x + place_y) <= size_x + size_y")
+    return pairs.select(F.col("v_x").alias("member"), F.col("v_y").alias("centre")).distinct()
+
+
+def similar_pairs(nodes: DataFrame, packed: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """a, b: verified links among pairs, or among candidate pairs; nodes (v, n, first, low, high), packed (n, id, text)."""
+    pairs = stage(candidate_pairs(nodes) if pairs is None else pairs, "candidates")
     many = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
     placed = pairs.join(many, "centre").withColumn("piece", F.pmod(F.xxhash64("member"), F.col("pieces")))
     asked = pairs.select(F.explode(F.array("member", "centre")).alias("v")).distinct()
-    wanted = nodes.join(asked, "v").select("v", "n", id_key("first").alias("id"))
-    # By text and id: of many copies of a text only the first one's row is met.
-    texts = stage(packed.join(wanted, ["n", "id"]).dropDuplicates(["v"]).select("v", "text"), "candidate-texts")
+    texts = stage(_texts_of(nodes.join(asked, "v"), packed), "candidate-texts")
     members = placed.join(texts, placed["member"] == texts["v"]).select("centre", "piece", "member", "text")
     centres = many.join(texts, many["centre"] == texts["v"]).select(
         "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
@@ -233,6 +275,10 @@ def similar_pairs(nodes: DataFrame, packed: DataFrame) -> DataFrame:
     return met.mapInArrow(_pass_verified, "a long, b long")
 
 
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, nodes["v"] == roots["node"], "left").withColumn("root", F.coalesce("root", "v")).drop("node")
+
+
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """n, first, root, component_id per distinct text of docs: md5 of the text, its smallest id, its group, the group's smallest id."""
     ship_package(docs.sparkSession)
@@ -243,8 +289,10 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
         "v", F.monotonically_increasing_id()), "texts")
     packed = named.select("n", id_key("doc_id").alias("id"), "text").mapInArrow(_pass_packed, "n binary, id long, text binary")
     roots = components(similar_pairs(nodes, packed))
-    labelled = nodes.join(roots, nodes["v"] == roots["node"], "left").select(
-        "n", "first", F.coalesce("root", "v").alias("root"))
+    grouped = stage(_rooted(nodes, roots).select("v", "n", "first", "root"), "groups")
+    known = grouped.filter("root < v").select(F.col("root").alias("a"), F.col("v").alias("b"))
+    missed = similar_pairs(nodes, packed, missed_pairs(grouped, packed))
+    labelled = _rooted(nodes, components(known.unionByName(missed)))
     ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return labelled.join(ids, "root").select("n", "first", "root", "component_id")
 
