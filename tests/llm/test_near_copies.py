@@ -152,3 +152,53 @@ def test_odd_rows(spark, documents, odd_rows):
     # Without words: 1; alike but for case: 30, as the other row's id is unknown.
     assert sorted(str(r["doc_id"]) for r in out) == ["1", "3", "30", "6", "7", "8", "None"]
     assert near_copies.one_of_each(documents([])).count() == 0
+
+
+def test_sketches_never_rule_out_similar_sets():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        a = draw.integers(0, 2**63, draw.integers(1, 700)).astype(np.uint64)
+        b = np.concatenate([a[draw.random(len(a)) < draw.random()], draw.integers(0, 2**63, draw.integers(0, 400)).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        assert near_copies.apart(near_copies.sketch(a), near_copies.sketch(b)) <= len(np.setxor1d(a, b))
+    a, b = (np.unique(draw.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(2))
+    assert 9 * near_copies.apart(near_copies.sketch(a), near_copies.sketch(b)) > 800
+
+
+def test_texts_that_share_a_passage_are_not_sent_to_be_compared(spark, documents, monkeypatch):
+    """A passage of a quarter of the words makes no pairs; copies beside it are still found, whatever is frequent."""
+    draw = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for _ in range(120):
+        own = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+        rows.append(own[:60] + passage + own[60:])
+    # New words in one stretch change few shingles but many words.
+    rows += [r[:145] + [f"x{draw.randrange(10**6)}" for _ in range(15)] for r in rows[:40]]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    want = brute_groups(rows)
+    compared, similar_pairs = [], near_copies.similar_pairs
+
+    def counted(nodes, packed, pairs=None):
+        if pairs is not None:
+            compared.append(pairs.count())
+        return similar_pairs(nodes, packed, pairs)
+
+    monkeypatch.setattr(near_copies, "similar_pairs", counted)
+    for sampled, often in ((1, 3), (8, 3), (1, 10**9)):
+        monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+        monkeypatch.setattr(near_copies, "OFTEN", often)
+        assert {r["doc_id"] for r in rows_of(near_copies.one_of_each(documents(rows)))} == set(want.values())
+    assert len(set(want.values())) == 120 and max(compared) <= 40
+
+
+def test_frequent_shingles_make_no_candidates(spark, documents, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLED", 1)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = documents([(i, " ".join(f"w{i}x{k}" for k in range(100)) + " " + passage) for i in range(60)])
+    named = rows.select(near_copies.text_key(rows).alias("n"), rows["doc_id"].alias("v"), rows["doc_id"].alias("first"),
+                        rows["doc_id"].alias("root"), rows["doc_id"].alias("id"), "text")
+    packed = named.select("n", "id", "text").mapInArrow(near_copies._pass_packed, "n binary, id long, text binary")
+    nodes = named.select("n", "v", "first", "root")
+    assert len(near_copies.frequent_shingles(nodes, packed)) == 56
+    assert near_copies.missed_pairs(nodes, packed).count() == 0

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tickwatch.llm.common import id_key, slices
 from tickwatch.llm.components import components
 from tickwatch.llm.golay import codewords
-from tickwatch.session import ship_package, stage
+from tickwatch.session import ship_package, stage, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEGMENTS, BITS = 5, 23
@@ -46,6 +46,8 @@ PAIRS = tuple(combinations(range(SEGMENTS), 2))
 FAR = 20
 # Members of a bucket, and of a centre, that are handled together.
 PIECE = 2_048
+# Of one in so many texts the shingles are counted; those in so many groups of the sample are frequent, up to a number.
+SAMPLED, OFTEN, FREQUENT = 8, 3, 100_000
 # Buckets of so many members at most pair all of them.
 SMALL = 6
 
@@ -62,8 +64,8 @@ def wide_fingerprint(text: bytes) -> tuple[int, int]:
     raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, counts)), dtype=np.uint8).reshape(len(counts), 16)
     weights = np.fromiter((n.bit_length() for n in counts.values()), np.int64, len(counts))
     ones = np.zeros(128, np.int64)
-    for at in range(0, len(raw), 65536):
-        ones += weights[at:at + 65536] @ np.unpackbits(raw[at:at + 65536], axis=1, bitorder="little").astype(np.int64)
+    for at in range(0, len(raw), 4096):
+        ones += weights[at:at + 4096] @ np.unpackbits(raw[at:at + 4096], axis=1, bitorder="little").astype(np.int64)
     bits = 2 * ones > weights.sum()
     bits[SEGMENTS * BITS:] = False
     low, high = np.packbits(bits, bitorder="little").view("<u8")
@@ -103,12 +105,15 @@ def _pass_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _pass_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
-        rows, keys = bucket_keys(low, high)
-        at = pa.array(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.astype(np.int32)), *[batch.column(c).take(at) for c in ("v", "low", "high")]], ["key", "v", "low", "high"])
+    for whole in batches:
+        # A row has about a hundred keys.
+        for start in range(0, whole.num_rows, 1024):
+            batch = whole.slice(start, 1024)
+            low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
+            rows, keys = bucket_keys(low, high)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.astype(np.int32)), *[batch.column(c).take(at) for c in ("v", "low", "high")]], ["key", "v", "low", "high"])
 
 
 def centre_pairs(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -178,23 +183,83 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
 
 
-def _pass_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each hash of a text's prefix, with the number of all its hashes and the place among them."""
+def _pass_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            grams = [shingles(unpack.decompress(x.as_py())) for x in part.column("text")]
+            rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(grams).view(np.int64)), part.column("root").take(pa.array(rows))], ["h", "root"])
+
+
+def _pass_prefixes(frequent: np.ndarray):
+    """One row for each hash of a text's prefix, with the number of all its hashes and the place among them.
+
+    The order is that of the hashes, with the `frequent` ones (sorted) behind all others.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        nothing = np.zeros(1, np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                grams = []
+                for x in part.column("text"):
+                    g = shingles(unpack.decompress(x.as_py()))
+                    if len(frequent):
+                        last = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
+                        g = np.concatenate([g[~last], g[last]])
+                    grams.append(g)
+                sizes = np.array([len(g) for g in grams], np.int32)
+                # Texts without words share one hash that stands for nothing.
+                taken = [g[:len(g) - (4 * len(g) + 4) // 5 + 1] if len(g) else nothing for g in grams]
+                counts = np.array([len(g) for g in taken])
+                rows = np.repeat(np.arange(len(grams)), counts)
+                places = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(taken).view(np.int64)), *[part.column(c).take(pa.array(rows)) for c in ("v", "root")],
+                     pa.array(sizes[rows]), pa.array(places.astype(np.int32))], ["h", "v", "root", "size", "place"])
+
+    return emit
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """The parity of the number of hashes that fall on each of 2**k bits, as many bits as hashes or more."""
+    size = max(64, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64
+    return np.packbits(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """So many hashes at least are in only one of two sets: each turns one bit of the difference of their sketches."""
+    x, y = (a, b) if len(a) >= len(b) else (b, a)
+    wide, bits, least = int.from_bytes(x, "little"), 8 * len(x), 8 * len(y)
+    while bits > least:
+        bits //= 2
+        wide = wide >> bits ^ wide & (1 << bits) - 1
+    return (wide ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _pass_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    nothing = np.zeros(1, np.uint64)
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             grams = [shingles(unpack.decompress(x.as_py())) for x in part.column("text")]
-            sizes = np.array([len(g) for g in grams], np.int32)
-            # Texts without words share one hash that stands for nothing.
-            taken = [g[:len(g) - (4 * len(g) + 4) // 5 + 1] if len(g) else nothing for g in grams]
-            counts = np.array([len(g) for g in taken])
-            rows = np.repeat(np.arange(len(grams)), counts)
-            places = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(taken).view(np.int64)), *[part.column(c).take(pa.array(rows)) for c in ("v", "root")],
-                 pa.array(sizes[rows]), pa.array(places.astype(np.int32))], ["h", "v", "root", "size", "place"])
+                [part.column("v"), pa.array([len(g) for g in grams], pa.int32()), pa.array(map(sketch, grams), pa.binary())],
+                ["v", "size", "sketch"])
+
+
+def _pass_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that their sketches leave possible: of similar sets at most a ninth of all hashes are in one of them only."""
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("size", "own", "other"))
+        keep = [9 * apart(a, b) <= size for size, a, b in zip(*columns)]
+        yield batch.select(["member", "centre"]).filter(pa.array(keep, pa.bool_()))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -244,10 +309,22 @@ def _texts_of(nodes: DataFrame, packed: DataFrame, *more: str) -> DataFrame:
     return packed.join(wanted, ["n", "id"]).dropDuplicates(["v"]).select("v", *more, "text")
 
 
+def frequent_shingles(labelled: DataFrame, packed: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many groups have, at most `FREQUENT`, as a sample of the texts shows them.
+
+    They only give the order of the hashes: with any such list no pair is lost, with a good one few are compared.
+    """
+    part = labelled.filter(F.pmod(F.xxhash64("n"), F.lit(SAMPLED)) == 0)
+    rows = _texts_of(part, packed, "root").mapInArrow(_pass_shingles, "h long, root long")
+    many = rows.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(f"c >= {OFTEN}")
+    with staged(many.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h"), "frequent") as most:
+        return np.sort(most.toArrow().column("h").to_numpy().view(np.uint64))
+
+
 def missed_pairs(labelled: DataFrame, packed: DataFrame) -> DataFrame:
     """member, centre: every two texts of different groups that may be similar; labelled (v, n, first, root)."""
     rows = _texts_of(labelled, packed, "root").mapInArrow(
-        _pass_prefixes, "h long, v long, root long, size int, place int")
+        _pass_prefixes(frequent_shingles(labelled, packed)), "h long, v long, root long, size int, place int")
     same = Window.partitionBy("h")
     met = stage(rows.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)})
                 .filter("lo < hi").drop("lo", "hi"), "shared")
@@ -259,6 +336,18 @@ def missed_pairs(labelled: DataFrame, packed: DataFrame) -> DataFrame:
     return pairs.select(F.col("v_x").alias("member"), F.col("v_y").alias("centre")).distinct()
 
 
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, packed: DataFrame) -> DataFrame:
+    """The pairs (member, centre) whose sketches do not rule a link out; texts stay where they are."""
+    asked = pairs.select(F.explode(F.array("member", "centre")).alias("v")).distinct()
+    marks = stage(_texts_of(nodes.join(asked, "v"), packed).mapInArrow(
+        _pass_sketches, "v long, size int, sketch binary"), "sketches")
+    own = marks.select(F.col("v").alias("member"), F.col("size").alias("size_own"), F.col("sketch").alias("own"))
+    other = marks.select(F.col("v").alias("centre"), F.col("size").alias("size_other"), F.col("sketch").alias("other"))
+    both = pairs.join(own, "member").join(other, "centre").select(
+        "member", "centre", (F.col("size_own") + F.col("size_other")).alias("size"), "own", "other")
+    return both.mapInArrow(_pass_likely, "member long, centre long")
+
+
 def similar_pairs(nodes: DataFrame, packed: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """a, b: verified links among pairs, or among candidate pairs; nodes (v, n, first, low, high), packed (n, id, text)."""
     pairs = stage(candidate_pairs(nodes) if pairs is None else pairs, "candidates")
@@ -291,7 +380,8 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     roots = components(similar_pairs(nodes, packed))
     grouped = stage(_rooted(nodes, roots).select("v", "n", "first", "root"), "groups")
     known = grouped.filter("root < v").select(F.col("root").alias("a"), F.col("v").alias("b"))
-    missed = similar_pairs(nodes, packed, missed_pairs(grouped, packed))
+    pairs = stage(missed_pairs(grouped, packed), "missed")
+    missed = similar_pairs(nodes, packed, likely_pairs(pairs, nodes, packed))
     labelled = _rooted(nodes, components(known.unionByName(missed)))
     ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return labelled.join(ids, "root").select("n", "first", "root", "component_id")
