@@ -40,6 +40,18 @@ def test_a_very_long_piece(ranks, library):
     assert bpe.decode(ids) == text.encode() and ids == library.encode_ordinary(text)
 
 
+def test_remembered_pieces_are_few_and_share_the_tokens(ranks, library):
+    bpe = tree_bpe.TreeBpe(ranks, public_tokenizers.PATTERN, remembered=40)
+    tokens = {id(token) for token in ranks}
+    for i in range(500):
+        text = f" zzyzxicon rq{i:05x}vb"
+        assert bpe.encode(text) == library.encode_ordinary(text)
+        assert " zzyzxicon" in bpe.known or " zzyzxicon" in bpe.known_before
+        assert len(bpe.known) <= 40 and len(bpe.known_before) <= 40
+        assert len(bpe.short) <= 20 and len(bpe.short_before) <= 20
+    assert all(id(part) in tokens for parts in bpe.short.values() for part in parts)
+
+
 def test_query_against_the_library(spark, small, library):
     out = {r["doc_id"]: r for r in queries.QUERIES["op8_tree_bpe"](spark, SMALL).collect()}
     assert len(out) == len(small)

@@ -10,11 +10,13 @@ cannot change. Decoding concatenates up the same kind of tree.
 Null texts are empty ones: no tokens; null ids and repeated rows are kept, each row is
 encoded on its own, an empty table gives no rows, further columns are ignored. A text of
 any length is encoded whole, in time proportional to it. The ranks travel to the executors once per
-job; each Python worker remembers the pieces it met, up to a fixed number.
+job; each Python worker remembers the pieces it met, up to a fixed number: the answers of the last so many
+pieces and of as many before them, in tokens that the vocabulary holds anyway.
 """
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from tickwatch.session import ship_package
 
 # Longest piece that is merged plainly; of these texts' bytes 30 % are in longer ones and go through the tree.
 LEAF = 8
-REMEMBERED = 400_000
+# Pieces remembered twice over (the newest so many, and so many before them), and half as many short ones.
+REMEMBERED = 200_000
 # The rank of what is no token.
 _NONE = 1 << 60
 _BATCH_BYTES = 4 << 20
@@ -43,8 +46,12 @@ class TreeBpe:
         self.ranks, self.leaf, self.remembered = ranks, max(leaf, 1), remembered
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, list[int]] = {}
+        self.own = {token: token for token in ranks}
+        # A full cache becomes the old one and that goes; what is met again moves to the new one.
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.known_before: dict[str, tuple[int, ...]] = {}
         self.short: dict[bytes, list[bytes]] = {}
+        self.short_before: dict[bytes, list[bytes]] = {}
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """The plain algorithm, for short pieces: merge the pair of lowest rank until none is left.
@@ -53,11 +60,15 @@ class TreeBpe:
         """
         parts = self.short.get(piece)
         if parts is None:
-            parts = self._merged(piece)
-            if len(piece) <= self.leaf:
-                if len(self.short) >= self.remembered:
-                    self.short.clear()
-                self.short[piece] = parts
+            parts = self.short_before.get(piece)
+            if parts is None:
+                parts = self._merged(piece)
+                if len(piece) > self.leaf:
+                    return parts
+                parts = [self.own[part] for part in parts]
+            if len(self.short) >= max(1, self.remembered // 2):
+                self.short, self.short_before = {}, self.short
+            self.short[piece] = parts
         return parts
 
     def _merged(self, piece: bytes) -> list[bytes]:
@@ -95,15 +106,17 @@ class TreeBpe:
                 return left[:len(left) - i] + window + right[j:]
             i, j = i if left_holds else 2 * i, j if right_holds else 2 * j
 
-    def piece_ids(self, piece: str) -> list[int]:
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
         ids = self.known.get(piece)
         if ids is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(raw)
-            ids = [whole] if whole is not None else [self.ranks[t] for t in self._encode(raw)]
+            ids = self.known_before.get(piece)
+            if ids is None:
+                raw = piece.encode("utf-8", "surrogatepass")
+                whole = self.ranks.get(raw)
+                ids = (whole,) if whole is not None else tuple([self.ranks[t] for t in self._encode(raw)])
             if len(piece) <= 64:
                 if len(self.known) >= self.remembered:
-                    self.known.clear()
+                    self.known, self.known_before = {}, self.known
                 self.known[piece] = ids
         return ids
 
@@ -151,7 +164,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
                 part = batch.slice(start, end - start)
                 ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                      pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
