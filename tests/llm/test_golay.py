@@ -6,6 +6,7 @@ import xxhash
 
 from tests_llm_helpers import rows_of
 from tickwatch.llm import golay, queries
+from tickwatch.session import stage
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -112,6 +113,20 @@ def test_near_fingerprints_chain(spark):
     assert len({roots.get(x, x) for x in chain}) == 1
 
 
+def test_keys_are_not_broadcast(spark):
+    """A fingerprint has dozens of keys, of which Spark knows nothing when it sizes them by the file of fingerprints."""
+    draw = random.Random(9)
+    chain = [draw.getrandbits(63)]
+    for i in range(20):
+        chain.append(chain[-1] ^ 1 << 3 * i)
+    fps = stage(spark.createDataFrame([(x,) for x in chain], "fp long"))
+    edges = golay.linked_fingerprints(fps)
+    assert {(r["a"], r["b"]) for r in edges.collect()} == {
+        (a, b) for a in chain for b in chain if a < b and (a ^ b).bit_count() <= 3}
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_odd_rows(spark, documents, odd_rows):
     out = rows_of(golay.simhash_components(documents(odd_rows)))
     assert len(out) == len(odd_rows)

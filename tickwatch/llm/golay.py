@@ -141,7 +141,8 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     left = fps.select("fp").mapInArrow(_keys(0), "key long, fp long").withColumnRenamed("fp", "a")
     right = fps.select("fp").mapInArrow(_keys(1), "key long, fp long").withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return left.join(right, "key").filter(near).select("a", "b").distinct()
+    # Spark takes the keys for as few as the fingerprints, which have dozens each, and would collect and broadcast them.
+    return left.hint("merge").join(right, "key").filter(near).select("a", "b").distinct()
 
 
 def fingerprint_components(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
